@@ -31,7 +31,7 @@ SELECT term, df, round(idf, 6) AS idf FROM kb_idf
 def k2_bm25_idf(spark, sf_dir):
     """Term statistics with the IDF floor (negative IDF -> 0.25 x mean raw IDF)."""
     index = bm25.build_index(_kb_docs(spark, sf_dir))
-    return index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return index.terms.select("term", "df", r6("idf").alias("idf"))
 
 
 @register("k1_bm25_postings", sql=f"""
@@ -52,7 +52,7 @@ def k3_bm25_scores(spark, sf_dir):
     """Every positive-or-not BM25 score of (user question, document) pairs sharing a term."""
     index = bm25.build_index(_kb_docs(spark, sf_dir))
     sc = bm25.scores(index, fx.user_questions(spark, sf_dir))
-    return sc.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return sc.select("query_id", "doc_id", r6("score").alias("score"))
 
 
 @register("k7_bm25_doc_count", sql="""
@@ -64,3 +64,102 @@ def k7_bm25_doc_count(spark, sf_dir):
     index = bm25.build_index(_kb_docs(spark, sf_dir))
     return index.docs.agg(F.count(F.lit(1)).cast("long").alias("n_docs"),
                           F.sum(F.when(F.col("dl") == 0, 1).otherwise(0)).cast("long").alias("n_empty"))
+
+
+# ---------------------------------------------------------------- vectors
+from ..functions import vectors as V  # noqa: E402
+from ..operators import fusion, knn  # noqa: E402
+from ..functions.numeric import r6
+
+
+@register("v5_knn_topk", sql=f"""
+WITH {S.VECTOR_QUESTIONS}, {S.KB_VECTORS}, {S.knn_topk('vq', '10', 'nn')}
+SELECT query_id, doc_id, score, rank FROM nn
+""")
+def v5_knn_topk(spark, sf_dir):
+    """Exact cosine top-10 over active KB vectors for every vector question."""
+    kb = fx.knowledge_base(spark, sf_dir)
+    return knn.search(kb, fx.vector_questions(spark, sf_dir), k=10).select("query_id", "doc_id", "score", "rank")
+
+
+@register("v6_knn_metadata_filter", sql=f"""
+WITH {S.VECTOR_QUESTIONS}, {S.KB_VECTORS}, {S.knn_topk('vq', '5', 'nn', "b.lang = 'en'")}
+SELECT query_id, doc_id, score, rank FROM nn
+""")
+def v6_knn_metadata_filter(spark, sf_dir):
+    """kNN restricted to KB rows whose metadata contains {lang: en}."""
+    kb = fx.knowledge_base(spark, sf_dir)
+    return knn.search(kb, fx.vector_questions(spark, sf_dir), k=5,
+                      metadata_filter={"lang": "en"}).select("query_id", "doc_id", "score", "rank")
+
+
+@register("v3_cosine_guarded", sql=f"""
+WITH {S.VECTOR_QUESTIONS}, {S.KB_VECTORS}, {S.knn_topk('vq', '3', 'nn')}
+SELECT nn.query_id, nn.doc_id,
+       round(list_dot_product(q.vector::DOUBLE[], b.embedding::DOUBLE[])
+         / ((sqrt(list_dot_product(q.vector::DOUBLE[], q.vector::DOUBLE[])) + 1e-9)
+            * (sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) + 1e-9)), 6) AS similarity
+FROM nn JOIN vq q ON q.query_id = nn.query_id JOIN kbv b ON b.doc_id = nn.doc_id
+""")
+def v3_cosine_guarded(spark, sf_dir):
+    """Guarded cosine similarity of every question with its top-3 neighbours."""
+    kb = fx.knowledge_base(spark, sf_dir)
+    qs = fx.vector_questions(spark, sf_dir)
+    hits = knn.search(kb, qs, k=3)
+    j = (hits.join(qs.select("query_id", "vector"), "query_id")
+         .join(kb.select(F.col("id").alias("doc_id"), "embedding"), "doc_id"))
+    return j.select("query_id", "doc_id", r6(V.cosine_guarded("vector", "embedding")).alias("similarity"))
+
+
+@register("v2_v4_vector_checks", sql="""
+SELECT label, count(*)::BIGINT AS n,
+       sum(CASE WHEN embedding IS NOT NULL AND len(embedding) = 64 THEN 1 ELSE 0 END)::BIGINT AS n_dim_ok,
+       round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS avg_norm,
+       round(avg(sqrt(list_sum(list_transform(embedding, lambda x: pow(x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 2))))), 6) AS avg_norm_after
+FROM embeddings GROUP BY label
+""")
+def v2_v4_vector_checks(spark, sf_dir):
+    """Dimension check (64) and L2 norms before/after normalisation, by label."""
+    e = fx.table(spark, sf_dir, "embeddings")
+    return e.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(V.has_dimension("embedding", 64), 1).otherwise(0)).cast("long").alias("n_dim_ok"),
+        r6(F.avg(V.norm("embedding"))).alias("avg_norm"),
+        r6(F.avg(V.norm(V.l2_normalize("embedding")))).alias("avg_norm_after"),
+    )
+
+
+# ---------------------------------------------------------------- hybrid
+def _hybrid(spark, sf_dir, fusion_method: str, k: int = 5):
+    from ..config import HybridParams
+
+    kb = fx.knowledge_base(spark, sf_dir)
+    index = bm25.build_index(kb.select(F.col("id").alias("doc_id"), F.col("content").alias("text")))
+    return fusion.search(index, kb, fx.vector_questions(spark, sf_dir),
+                         HybridParams(fusion=fusion_method), top_k=k)
+
+
+_HYBRID_SQL = f"""
+WITH {S.BM25_INDEX}, {S.VECTOR_QUESTIONS}, {S.KB_VECTORS}, {S.bm25_scores('vq')},
+     {S.bm25_topk('bm25_sc', '10', 'bm')}, {S.knn_topk('vq', '10', 'nn')}, {{fuse}}, {S.fused_cut('fz', '5', 'hy')}
+SELECT h.query_id, h.doc_id, h.combined_score, h.bm25_score, h.semantic_score, h.rank,
+       coalesce(d.source || '/' || CAST(d.doc_id AS VARCHAR), '') AS title, length(coalesce(d.text, '')) AS content_chars
+FROM hy h LEFT JOIN documents d ON d.doc_id = h.doc_id
+"""
+
+
+def _hybrid_out(df):
+    return df.select("query_id", "doc_id", "combined_score", "bm25_score", "semantic_score", "rank", "title",
+                     F.length("content").cast("long").alias("content_chars"))
+
+
+@register("h2_hybrid_rrf", sql=_HYBRID_SQL.replace("{fuse}", S.rrf("bm", "nn", "fz")))
+def h2_hybrid_rrf(spark, sf_dir):
+    """Hybrid top-5 by reciprocal-rank fusion (2k fetched from each side)."""
+    return _hybrid_out(_hybrid(spark, sf_dir, "rrf"))
+
+
+@register("h3_hybrid_weighted", sql=_HYBRID_SQL.replace("{fuse}", S.weighted("bm", "nn", "fz")))
+def h3_hybrid_weighted(spark, sf_dir):
+    """Hybrid top-5 by weighted score fusion (BM25 scaled by the query's max)."""
+    return _hybrid_out(_hybrid(spark, sf_dir, "weighted"))

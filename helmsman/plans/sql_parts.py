@@ -72,3 +72,72 @@ def bm25_topk(scores: str, k: str, name: str) -> str:
   QUALIFY rank <= {k}
 )
 """
+
+# Knowledge-base vectors (every document with an embedding; all rows active).
+KB_VECTORS = r"""
+kbv AS (
+  SELECT d.doc_id, d.lang, d.source, e.embedding
+  FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id
+)
+"""
+
+
+def knn_topk(questions: str, k: str, name: str, where: str = "TRUE") -> str:
+    """(query_id, doc_id, score, rank): exact cosine top-k of every question."""
+    return rf"""
+{name}_sim AS (
+  SELECT q.query_id, b.doc_id,
+         list_dot_product(q.vector::DOUBLE[], b.embedding::DOUBLE[])
+           / (sqrt(list_dot_product(q.vector::DOUBLE[], q.vector::DOUBLE[]))
+              * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS score
+  FROM {questions} q CROSS JOIN kbv b WHERE {where}
+),
+{name} AS (
+  SELECT query_id, doc_id, round(score, 6) AS score,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id ASC)::BIGINT AS rank
+  FROM {name}_sim
+  QUALIFY rank <= {k}
+)
+"""
+
+
+def fused_cut(fused: str, k: str, name: str) -> str:
+    return rf"""
+{name} AS (
+  SELECT query_id, doc_id, round(combined_score, 6) AS combined_score,
+         round(bm25_score, 6) AS bm25_score, round(semantic_score, 6) AS semantic_score,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(combined_score, 6) DESC, doc_id ASC)::BIGINT AS rank
+  FROM {fused}
+  QUALIFY rank <= {k}
+)
+"""
+
+
+def rrf(bm: str, vec: str, name: str, alpha: float = 0.5) -> str:
+    return rf"""
+{name} AS (
+  SELECT coalesce(b.query_id, v.query_id) AS query_id, coalesce(b.doc_id, v.doc_id) AS doc_id,
+         {alpha} * coalesce(1.0 / (60.0 + v.rank), 0.0) + {1 - alpha} * coalesce(1.0 / (60.0 + b.rank), 0.0) AS combined_score,
+         coalesce(1.0 / (60.0 + b.rank), 0.0) AS bm25_score,
+         coalesce(1.0 / (60.0 + v.rank), 0.0) AS semantic_score
+  FROM {bm} b FULL OUTER JOIN {vec} v ON b.query_id = v.query_id AND b.doc_id = v.doc_id
+)
+"""
+
+
+def weighted(bm: str, vec: str, name: str, alpha: float = 0.5) -> str:
+    return rf"""
+{name}_b AS (
+  SELECT query_id, doc_id,
+         CASE WHEN max(score) OVER (PARTITION BY query_id) > 0
+              THEN score / max(score) OVER (PARTITION BY query_id) ELSE score END AS b_norm
+  FROM {bm}
+),
+{name} AS (
+  SELECT coalesce(b.query_id, v.query_id) AS query_id, coalesce(b.doc_id, v.doc_id) AS doc_id,
+         {alpha} * coalesce(v.score, 0.0) + {1 - alpha} * coalesce(b.b_norm, 0.0) AS combined_score,
+         coalesce(b.b_norm, 0.0) AS bm25_score,
+         coalesce(v.score, 0.0) AS semantic_score
+  FROM {name}_b b FULL OUTER JOIN {vec} v ON b.query_id = v.query_id AND b.doc_id = v.doc_id
+)
+"""
