@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_retrieval  # noqa: F401
+from . import q_retrieval, q_text  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 
