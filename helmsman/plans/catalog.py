@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import q_retrieval, q_text  # noqa: F401
+from . import q_decision, q_retrieval, q_text  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["k4_bm25_topk"](spark, sf_dir)
+    return QUERIES["g5_answer_batch"](spark, sf_dir)
 
 
 __all__ = ["QUERIES", "ORACLE", "flagship"]
