@@ -5,10 +5,15 @@ They restate, in SQL over the fixture views, the same views that
 """
 
 # The BM25 index over the knowledge base (documents), k1 = 1.5, b = 0.75.
-BM25_INDEX = r"""
+def bm25_index(source: str = "documents") -> str:
+    """CTEs kb_tok, kb_dl, kb_stats, kb_post, kb_raw_idf, kb_idf over ``source`` (doc_id, text)."""
+    return BM25_INDEX_TMPL.replace("{source}", source)
+
+
+BM25_INDEX_TMPL = r"""
 kb_tok AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda t: t <> '') AS toks
-  FROM documents
+  FROM {source}
 ),
 kb_dl AS (SELECT doc_id, len(toks) AS dl FROM kb_tok),
 kb_stats AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM kb_dl),
@@ -29,6 +34,8 @@ kb_idf AS (
 )
 """
 
+BM25_INDEX = bm25_index("documents")
+
 # Query terms of every user question.
 USER_QUESTIONS = r"""
 uq AS (
