@@ -171,7 +171,20 @@ def suppress_repeats(questions: DataFrame, watermark: str = "1 hour", ts: str =
     """Drop a question whose cleaned text was already seen within the
     watermark delay."""
     h = questions.withColumn("query_hash", context.query_hash(TX.clean("text")))
-    return h.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["query_hash"])
+    if h.isStreaming:
+        return h.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["query_hash"])
+    # Batch twin: the earliest question per (hash, delay-long time bucket), a
+    # partial/final aggregate (a hot hash is pre-aggregated in every task).
+    secs = _seconds(watermark)
+    bucket = F.floor(F.unix_seconds(F.col(ts)) / F.lit(secs))
+    first = h.groupBy("query_hash", bucket.alias("_b")).agg(F.min_by(F.struct(*h.columns), F.col(ts)).alias("_r"))
+    return first.select("_r.*")
+
+
+def _seconds(interval: str) -> int:
+    n, unit = interval.split()
+    mult = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+    return int(n) * mult
 
 
 # ---------------------------------------------------- W1 / W6 foreachBatch
