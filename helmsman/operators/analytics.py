@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import (ALERT_ERROR_RATE, ALERT_MIN_DEFLECTION, ALERT_P95_LATENCY_S, CONFIDENCE_BUCKETS,
                       DURATION_BUCKETS, RETRAIN_THRESHOLD)
-from ..functions.numeric import r6
+from ..functions.numeric import r6, r6_stable
 from .numbering import exact_quantiles
 
 
@@ -89,7 +89,7 @@ def rates(df: DataFrame, label: str, window: str = "5 minutes", slide: str = "1
 def quantiles(df: DataFrame, value: str, qs, group_cols: list[str] | None = None) -> DataFrame:
     """Exact quantiles (distributed ranking)."""
     out = exact_quantiles(df, value, list(qs), group_cols)
-    return out.select(*(group_cols or []), "q", r6("value").alias("value"))
+    return out.select(*(group_cols or []), "q", r6_stable("value").alias("value"))
 
 
 def alerts(log: DataFrame, p95_seconds: DataFrame | None = None, key: str = "day") -> DataFrame:

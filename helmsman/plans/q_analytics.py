@@ -197,8 +197,8 @@ def a13_rates_5m(spark, sf_dir):
 
 @register("a14_latency_quantiles", sql=f"""
 WITH {LOG_SQL}
-SELECT 0.5::DOUBLE AS q, round(quantile_cont(latency_ms, 0.5), 6) AS value FROM log
-UNION ALL SELECT 0.95::DOUBLE AS q, round(quantile_cont(latency_ms, 0.95), 6) AS value FROM log
+SELECT 0.5::DOUBLE AS q, round(round(quantile_cont(latency_ms, 0.5), 9), 6) AS value FROM log
+UNION ALL SELECT 0.95::DOUBLE AS q, round(round(quantile_cont(latency_ms, 0.95), 9), 6) AS value FROM log
 """)
 def a14_latency_quantiles(spark, sf_dir):
     """Exact p50 / p95 latency (distributed ranking, linear interpolation)."""
@@ -234,7 +234,7 @@ def a14b_bucket_quantiles(spark, sf_dir):
 
 @register("a15_stage_p95", sql=f"""
 WITH {LOG_SQL}
-SELECT event_type, 0.95::DOUBLE AS q, round(quantile_cont(latency_ms / 1000.0, 0.95), 6) AS value FROM log GROUP BY event_type
+SELECT event_type, 0.95::DOUBLE AS q, round(round(quantile_cont(latency_ms / 1000.0, 0.95), 9), 6) AS value FROM log GROUP BY event_type
 """)
 def a15_stage_p95(spark, sf_dir):
     """p95 duration per stage (event type)."""
@@ -244,10 +244,10 @@ def a15_stage_p95(spark, sf_dir):
 
 @register("a16_confidence_quantiles", sql=f"""
 WITH {LOG_SQL}
-SELECT 0.25::DOUBLE AS q, round(quantile_cont(confidence_score, 0.25), 6) AS value FROM log
-UNION ALL SELECT 0.5::DOUBLE AS q, round(quantile_cont(confidence_score, 0.5), 6) AS value FROM log
-UNION ALL SELECT 0.75::DOUBLE AS q, round(quantile_cont(confidence_score, 0.75), 6) AS value FROM log
-UNION ALL SELECT 0.95::DOUBLE AS q, round(quantile_cont(confidence_score, 0.95), 6) AS value FROM log
+SELECT 0.25::DOUBLE AS q, round(round(quantile_cont(confidence_score, 0.25), 9), 6) AS value FROM log
+UNION ALL SELECT 0.5::DOUBLE AS q, round(round(quantile_cont(confidence_score, 0.5), 9), 6) AS value FROM log
+UNION ALL SELECT 0.75::DOUBLE AS q, round(round(quantile_cont(confidence_score, 0.75), 9), 6) AS value FROM log
+UNION ALL SELECT 0.95::DOUBLE AS q, round(round(quantile_cont(confidence_score, 0.95), 9), 6) AS value FROM log
 """)
 def a16_confidence_quantiles(spark, sf_dir):
     """Confidence p25 / p50 / p75 / p95."""
@@ -285,10 +285,10 @@ WITH {LOG_SQL}
 SELECT CAST(created_at AS DATE) AS day,
        round(sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) / count(*), 6) AS error_rate,
        round(sum(CASE WHEN routing_decision = 'auto_response' THEN 1 ELSE 0 END) / count(*), 6) AS deflection,
-       round(quantile_cont(latency_ms / 1000.0, 0.95), 6) AS p95_latency_s,
+       round(round(quantile_cont(latency_ms / 1000.0, 0.95), 9), 6) AS p95_latency_s,
        sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) / count(*) > 0.1 AS alert_error_rate,
        sum(CASE WHEN routing_decision = 'auto_response' THEN 1 ELSE 0 END) / count(*) < 0.5 AS alert_deflection,
-       round(quantile_cont(latency_ms / 1000.0, 0.95), 6) > 5.0 AS alert_p95_latency
+       round(round(quantile_cont(latency_ms / 1000.0, 0.95), 9), 6) > 5.0 AS alert_p95_latency
 FROM log GROUP BY 1
 """)
 def a19_alerts_daily(spark, sf_dir):
