@@ -90,13 +90,12 @@ def search(index: bm25_op.Bm25Index, kb: DataFrame, queries: DataFrame, params:
     a = p.alpha if alpha is None else alpha
     fetch = 2 * k
     kb_active = kb.filter(F.col("is_active")) if "is_active" in kb.columns else kb
-    bm_scores = bm25_op.scores(index, queries)
+    allowed = None
     if metadata_filter:
         from ..functions.vectors import metadata_contains
 
         allowed = kb_active.filter(metadata_contains("metadata", metadata_filter)).select(F.col("id").alias("doc_id"))
-        bm_scores = bm_scores.join(allowed, "doc_id", "left_semi")
-    bm_hits = bm25_op.top_k(bm_scores, fetch)
+    bm_hits = bm25_op.search(index, queries, fetch, allowed_docs=allowed)
     vec_hits = knn_op.search(kb_active, queries.select("query_id", "vector"), fetch,
                              metadata_filter=metadata_filter, active_only=False)
     fused = rrf(bm_hits, vec_hits, a, p.rrf_k) if p.fusion == "rrf" else weighted(bm_hits, vec_hits, a)

@@ -223,16 +223,23 @@ def start_routing(questions: DataFrame, kb: DataFrame, out_dir: str, checkpoint:
 
 
 def start_ingest(articles: DataFrame, kb_base: str, kb: DataFrame, as_of, checkpoint: str | None = None):
-    """Each micro-batch of articles is ingested (ids after the current max)
-    and written as a new KB snapshot; the BM25 index derives from the snapshot."""
+    """Each micro-batch of articles is ingested (ids after the current max
+    over the base KB and every earlier increment) and written as its own
+    increment directory; the KB is the base plus all increments, and the BM25
+    index derives from it (``operators.bm25.update_documents`` for changes)."""
     from ..sources import kb as KB
 
     spark = articles.sparkSession
 
     def write(batch: DataFrame, epoch: int) -> None:
-        current = KB.read_snapshot(spark, f"{kb_base}/v=*") if epoch > 0 else kb
+        current = kb
+        if epoch > 0:
+            try:
+                current = kb.unionByName(KB.read_snapshot(spark, f"{kb_base}/epoch=*"))
+            except Exception:  # no increment written yet
+                current = kb
         new = KB.ingest(current, batch, as_of)
-        new.write.mode("overwrite").parquet(f"{kb_base}/v={epoch + 1}")
+        new.write.mode("overwrite").parquet(f"{kb_base}/epoch={epoch}")
 
     return (articles.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint or scratch_path(spark, "w6-ingest"))

@@ -240,3 +240,20 @@ def test_exact_quantiles_with_hot_group(spark):
         xs = np.array([v for k, v in vals if k == g])
         for q in (0.0, 0.5, 0.95, 1.0):
             assert got[(g, q)] == pytest.approx(float(np.quantile(xs, q)), abs=1e-12)
+
+
+def test_pruned_bm25_topk_equals_exhaustive(spark):
+    from helmsman.sources import fixtures as fx
+    from tests.conftest import SF_SMALL
+
+    docs = fx.table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    idx = bm25.build_index(docs)
+    for qs, k in ((fx.user_questions(spark, SF_SMALL), 5), (fx.vector_questions(spark, SF_SMALL), 10)):
+        a = {tuple(r) for r in bm25.search(idx, qs, k=k, prune=True).collect()}
+        b = {tuple(r) for r in bm25.search(idx, qs, k=k, prune=False).collect()}
+        assert a == b and a
+    allowed = docs.filter("doc_id % 3 = 0").select("doc_id")
+    qs = fx.user_questions(spark, SF_SMALL)
+    a = {tuple(r) for r in bm25.search(idx, qs, k=5, allowed_docs=allowed, prune=True).collect()}
+    b = {tuple(r) for r in bm25.search(idx, qs, k=5, allowed_docs=allowed, prune=False).collect()}
+    assert a == b
