@@ -53,7 +53,7 @@ def metadata_contains(meta, flt: dict[str, str] | None) -> Column:
     meta = _col(meta)
     cond = F.lit(True)
     for k, v in flt.items():
-        cond = cond & (F.element_at(meta, F.lit(k)) == F.lit(v))
+        cond = cond & (meta.getItem(k) == F.lit(v))
     return F.coalesce(cond, F.lit(False))
 
 
