@@ -36,8 +36,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     On a cluster this is whatever ``spark.checkpoint.dir`` names.  Only a local
     session (tests, benches) without one gets a fresh scratch folder.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if path:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(path)
         return path
     master = spark.sparkContext.master or ""
     if not master.startswith("local"):

@@ -92,3 +92,38 @@ def test_routing_stream_equals_batch(spark, scratch):
     batch = {(r["query_id"], r["route"], round(r["confidence"], 6))
              for r in end_to_end.answer(qs, kb).queries.collect()}
     assert streamed == batch
+
+
+def test_durable_answer_equals_cached(spark):
+    from helmsman.plans import end_to_end
+    from helmsman.sources import fixtures as fx
+
+    kb = fx.knowledge_base(spark, SF_SMALL)
+    qs = fx.vector_questions(spark, SF_SMALL)
+    a = {(r["query_id"], r["route"], r["confidence"]) for r in end_to_end.answer(qs, kb).queries.collect()}
+    b = {(r["query_id"], r["route"], r["confidence"])
+         for r in end_to_end.answer(qs, kb, params=end_to_end.BatchParams(durable=True)).queries.collect()}
+    assert a == b and a
+
+
+def test_ingest_stream_appends_increments(spark, scratch):
+    from pyspark.sql import functions as F
+
+    from helmsman.sources import fixtures as fx
+    from helmsman.sources import kb as KB
+
+    kb = fx.knowledge_base(spark, SF_SMALL)
+    pages = fx.table(spark, SF_SMALL, "pages").select(
+        F.col("url").alias("title"), F.col("html").alias("content"),
+        F.create_map(F.lit("source"), F.lit("web")).alias("metadata"))
+    src = os.path.join(scratch, "articles")
+    pages.repartition(2).write.parquet(src)
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    base = os.path.join(scratch, "kb")
+    q = jobs.start_ingest(stream, base, kb, dt.datetime(2024, 2, 1), os.path.join(scratch, "ck6"))
+    q.awaitTermination()
+    inc = KB.read_snapshot(spark, f"{base}/epoch=*")
+    ids = [r["id"] for r in inc.select("id").collect()]
+    max_base = kb.agg(F.max("id")).first()[0]
+    assert len(ids) == pages.count() and len(set(ids)) == len(ids) and min(ids) == max_base + 1
+    assert sorted(ids) == list(range(max_base + 1, max_base + 1 + len(ids)))
