@@ -38,9 +38,13 @@ def knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KB rows: id, title, content, metadata, embedding, embedding_model,
     created_at, updated_at, is_active."""
     docs = table(spark, sf_dir, "documents")
+    # One vector per KB id (the id is the primary key).  Declaring it unique
+    # lets Catalyst drop this join from plans that read no vector column (the
+    # BM25 index build), and costs nothing where the join is needed: the
+    # de-duplication and the join share the same partitioning by id.
     vecs = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding")
-    )
+    ).dropDuplicates(["id"])
     created = F.to_timestamp(F.lit(KB_CREATED_AT))
     return (
         docs.select(
