@@ -48,11 +48,19 @@ def collapse_punctuation(c) -> Column:
 
 
 def expand_abbreviations(c, table=None) -> Column:
-    """P5: whole-word, case-insensitive expansion, in table order."""
+    """P5: whole-word, case-insensitive expansion, in table order.
+
+    One combined ``rlike`` decides whether a text holds any abbreviation at
+    all; only those texts pay for the ordered replacement passes."""
     c = _col(c)
-    for short, full in table if table is not None else CleanParams().abbreviations:
-        c = F.regexp_replace(c, rf"(?iU)\b{short}\b", full)
-    return c
+    pairs = list(table if table is not None else CleanParams().abbreviations)
+    if not pairs:
+        return c
+    x = c
+    for short, full in pairs:
+        x = F.regexp_replace(x, rf"(?iU)\b{short}\b", full)
+    any_abbr = rf"(?iU)\b(?:{'|'.join(short for short, _ in pairs)})\b"
+    return F.when(c.rlike(any_abbr), x).otherwise(c)
 
 
 def clean(c, params: CleanParams | None = None) -> Column:
