@@ -91,7 +91,7 @@ SYSTEM_PROMPT = (
     "to escalate to a human agent.\n"
     "Always be empathetic, clear, and concise.\n"
 )
-RAG_TEMPLATE = (
+PROMPT_TEMPLATE = (
     "Context:\n{context}\n\nCustomer Question: {question}\n\n"
     "Please provide a helpful response based on the context above.\n"
 )

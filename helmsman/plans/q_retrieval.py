@@ -163,3 +163,17 @@ def h2_hybrid_rrf(spark, sf_dir):
 def h3_hybrid_weighted(spark, sf_dir):
     """Hybrid top-5 by weighted score fusion (BM25 scaled by the query's max)."""
     return _hybrid_out(_hybrid(spark, sf_dir, "weighted"))
+
+
+@register("v6_variant_metadata_filter", sql="""
+SELECT event_type, count(*)::BIGINT AS n_events,
+       sum(CASE WHEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) = 69 THEN 1 ELSE 0 END)::BIGINT AS n_matching
+FROM events GROUP BY event_type
+""")
+def v6_variant_metadata_filter(spark, sf_dir):
+    """Nested metadata containment: JSON props parsed to VARIANT and matched
+    on a path ({"k": 69}), counted per event type."""
+    ev = fx.table(spark, sf_dir, "events").select("event_type", F.parse_json("props").alias("meta"))
+    hit = V.variant_contains("meta", {"k": 69})
+    return ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"),
+                                        F.sum(F.when(hit, 1).otherwise(0)).cast("long").alias("n_matching"))
