@@ -29,12 +29,11 @@ corr AS (
 def corrections(spark, sf_dir):
     """The latest assistant turn of each conversation is the agent's
     corrected answer for the KB document with the same id."""
-    from pyspark.sql import Window
-
     conv = fx.table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
-    w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
-    return (conv.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") == 1)
-            .select(F.col("conv_id").alias("id"), F.col("text").alias("content")))
+    # max_by is a partial/final aggregate: a huge conversation is pre-reduced
+    # in every task instead of being gathered for a window.
+    return conv.groupBy("conv_id").agg(F.max_by("text", "turn").alias("content")).select(
+        F.col("conv_id").alias("id"), "content")
 
 
 @register("s1_kb_source", sql="""
