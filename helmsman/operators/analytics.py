@@ -92,7 +92,7 @@ def quantiles(df: DataFrame, value: str, qs, group_cols: list[str] | None = None
     return out.select(*(group_cols or []), "q", r6_stable("value").alias("value"))
 
 
-def alerts(log: DataFrame, p95_seconds: DataFrame | None = None, key: str = "day") -> DataFrame:
+def alerts(log: DataFrame, key: str = "day") -> DataFrame:
     """Per day error rate, deflection, p95 latency and the firing flags."""
     d = log.withColumn(key, F.to_date("created_at"))
     g = d.groupBy(key).agg(

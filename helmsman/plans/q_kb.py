@@ -241,8 +241,9 @@ def g6_cache_keys(spark, sf_dir):
     """Question cache keys: one retrieval per distinct cleaned question."""
     qs = fx.user_questions(spark, sf_dir).select("query_id", T.clean("text").alias("text"))
     unique, mapping = context.dedupe_for_cache(qs)
-    h = qs.select("query_id", context.query_hash("text").alias("qhash"))
-    return h.groupBy("qhash").agg(F.count(F.lit(1)).alias("n_questions"), F.min("query_id").alias("rep_id"))
+    n = mapping.groupBy("rep_id").agg(F.count(F.lit(1)).alias("n_questions"))
+    return (unique.select(F.col("query_id").alias("rep_id"), context.query_hash("text").alias("qhash"))
+            .join(n, "rep_id").select("qhash", "n_questions", "rep_id"))
 
 
 @register("g7_cache_invalidation", sql=f"""

@@ -3,8 +3,6 @@ validation (P16/P17), language (L) and subword tokens (T)."""
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from ..config import LangParams, PiiParams
