@@ -257,3 +257,21 @@ def test_pruned_bm25_topk_equals_exhaustive(spark):
     a = {tuple(r) for r in bm25.search(idx, qs, k=5, allowed_docs=allowed, prune=True).collect()}
     b = {tuple(r) for r in bm25.search(idx, qs, k=5, allowed_docs=allowed, prune=False).collect()}
     assert a == b
+
+
+def test_saved_bucketed_index_equals_fresh(spark, scratch):
+    from helmsman.sources import fixtures as fx
+    from tests.conftest import SF_SMALL
+
+    docs = fx.table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    idx = bm25.build_index(docs)
+    bm25.save_index(idx, scratch, "test_bm25_postings", buckets=4)
+    spark.catalog.dropTable("test_bm25_postings") if hasattr(spark.catalog, "dropTable") else spark.sql(
+        "DROP TABLE IF EXISTS test_bm25_postings")
+    idx2 = bm25.load_index(spark, scratch, "test_bm25_postings", buckets=4)
+    assert (idx2.n_docs, idx2.avgdl) == (idx.n_docs, idx.avgdl)
+    assert idx2.avg_idf == pytest.approx(idx.avg_idf, abs=1e-12)
+    qs = fx.user_questions(spark, SF_SMALL)
+    a = {tuple(r) for r in bm25.search(idx, qs, k=5).collect()}
+    b = {tuple(r) for r in bm25.search(idx2, qs, k=5).collect()}
+    assert a == b and a
