@@ -289,3 +289,19 @@ def s15_metrics_long(spark, sf_dir):
     t = fx.as_of(spark, sf_dir)
     k = A.kpi(A.trailing(fx.request_log(spark, sf_dir), t, 24)).select("total_queries", "auto_responses", "human_handoffs")
     return sinks.metrics_long(k, t).select("metric_name", "metric_value")
+
+
+@register("s4_active_scan_after_deletes", sql="""
+SELECT doc_id AS id, length(text)::BIGINT AS content_chars FROM documents
+WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+  AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)
+""")
+def s4_active_scan_after_deletes(spark, sf_dir):
+    """Active (id, content) rows after soft-deleting toxic and hard-deleting
+    low-quality documents."""
+    kb = fx.knowledge_base(spark, sf_dir)
+    labels = fx.table(spark, sf_dir, "labels")
+    t = fx.as_of(spark, sf_dir)
+    kb = KB.soft_delete(kb, labels.filter(F.col("toxic") == 1).select(F.col("doc_id").alias("id")), t)
+    kb = KB.hard_delete(kb, labels.filter(F.col("quality") == 0).select(F.col("doc_id").alias("id")))
+    return KB.active_documents(kb).select("id", F.length("content").cast("long").alias("content_chars"))

@@ -311,3 +311,30 @@ def l2_language_probs(spark, sf_dir):
     qs = fx.user_questions(spark, sf_dir)
     prof = _profile(spark, sf_dir)
     return language.probabilities(qs, prof, "query_id", "text")
+
+
+_CLEANED = Q.clean("text")
+
+
+@register("p15_prepare_questions", sql="WITH " + _lang_sql_parts(
+    "conversations", "conv_id * 1000 + turn", Q.clean("text"), "role = 'user'") + f"""
+, pr AS (
+  SELECT conv_id * 1000 + turn AS query_id, length(text)::BIGINT AS text_length,
+         length({_CLEANED})::BIGINT AS cleaned_length,
+         length({Q.redact(_CLEANED)})::BIGINT AS anonymized_length,
+         (len({Q.matches(_CLEANED, 'EMAIL_ADDRESS')}) + len({Q.matches(_CLEANED, 'CREDIT_CARD')})
+          + len({Q.matches(_CLEANED, 'SSN')}) + len({Q.matches(_CLEANED, 'PHONE_NUMBER')})
+          + len({Q.matches(_CLEANED, 'PERSON')}))::BIGINT AS pii_count
+  FROM conversations WHERE role = 'user'
+)
+SELECT pr.query_id, det.language, pr.text_length, pr.cleaned_length, pr.anonymized_length, pr.pii_count
+FROM pr JOIN det ON det.id = pr.query_id
+""")
+def p15_prepare_questions(spark, sf_dir):
+    """Preparation record of every user question: clean -> language (on the
+    cleaned text) -> PII redaction, with lengths and the entity count."""
+    from .prep import prepare
+
+    prof = _profile(spark, sf_dir)
+    rec = prepare(fx.user_questions(spark, sf_dir), prof, "query_id", "text")
+    return rec.select("query_id", "language", "text_length", "cleaned_length", "anonymized_length", "pii_count")
