@@ -41,7 +41,7 @@ SELECT p.doc_id, p.term, p.tf, d.dl FROM kb_post p JOIN kb_dl d USING (doc_id)
 def k1_bm25_postings(spark, sf_dir):
     """The inverted index: one row per (document, term) with tf and document length."""
     index = bm25.build_index(_kb_docs(spark, sf_dir))
-    return index.postings.join(index.docs, "doc_id").select("doc_id", "term", "tf", "dl")
+    return index.postings.join(index.docs, "doc_id").select("doc_id", "term", "tf", F.col("dl").cast("long").alias("dl"))
 
 
 @register("k3_bm25_scores", sql=f"""

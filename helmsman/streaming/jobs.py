@@ -82,11 +82,12 @@ def sessions_batch(log: DataFrame, gap_seconds: int = 1800, partitions: int | No
     session numbers into global ones; sessions are then a partial/final
     aggregate by (user, session)."""
     n = partitions or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = log.select("user_id", F.col("created_at").cast("timestamp").alias("ts"),
+    base = log.select(F.col("user_id").cast("long").alias("user_id"), F.col("created_at").alias("ts"),
                       (F.col("routing_decision") == "human_handoff").cast("int").alias("handoff"))
+    ts_type = base.schema["ts"].dataType.simpleString()  # keeps timestamp or timestamp_ntz
     local = (base.repartitionByRange(n, "user_id", "ts").sortWithinPartitions("user_id", "ts")
              .withColumn("_pid", F.spark_partition_id()))
-    schema = "user_id long, ts timestamp, handoff int, _pid int, _start int, _lsid long"
+    schema = f"user_id long, ts {ts_type}, handoff int, _pid int, _start int, _lsid long"
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prev_u, prev_t, cur = None, None, -1  # carried across Arrow batches
@@ -118,7 +119,7 @@ def sessions_batch(log: DataFrame, gap_seconds: int = 1800, partitions: int | No
     w = Window.partitionBy("user_id").orderBy("_pid")
     edges = (edges.withColumn("_prev_last", F.lag("_last").over(w))
              .withColumn("_cont", (F.col("_prev_last").isNotNull() &
-                                   ((F.unix_micros("_first") - F.unix_micros("_prev_last")) < F.lit(gap_seconds * 1_000_000)))
+                                   ((F.col("_first") - F.col("_prev_last")) < F.expr(f"INTERVAL {gap_seconds} SECONDS")))
                          .cast("int"))
              # sessions before this slice = starts in earlier slices (the first
              # row of a continuing slice does not start a new session)
