@@ -275,3 +275,18 @@ def test_saved_bucketed_index_equals_fresh(spark, scratch):
     a = {tuple(r) for r in bm25.search(idx, qs, k=5).collect()}
     b = {tuple(r) for r in bm25.search(idx2, qs, k=5).collect()}
     assert a == b and a
+
+
+def test_saved_language_profile_detects_the_same(spark, scratch):
+    from helmsman.operators import language
+    from helmsman.sources import fixtures as fx
+    from tests.conftest import SF_SMALL
+
+    docs = fx.table(spark, SF_SMALL, "documents")
+    prof = language.train(docs.select("text", "lang"))
+    language.save_profile(prof, scratch + "/profile")
+    prof2 = language.load_profile(spark, scratch + "/profile")
+    assert prof2.unseen == pytest.approx(prof.unseen)
+    a = {tuple(r) for r in language.detect(docs, prof, "doc_id", "text").collect()}
+    b = {tuple(r) for r in language.detect(docs, prof2, "doc_id", "text").collect()}
+    assert a == b and a
