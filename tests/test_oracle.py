@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
-from tools.oracle_check import canon
+from tools.oracle_check import canon, type_mismatches
 
 ORACLE = E.oracle_sql()
 QUERIES = E.queries()
@@ -23,6 +23,7 @@ def test_query_matches_oracle(spark, duck_small, name):
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(sdf.columns) == sorted(dcols)
+    assert not type_mismatches(sdf, duck_small, ORACLE[name])
     assert len(srows) == len(drows)
     assert canon(srows, sdf.columns) == canon(drows, dcols)
 
