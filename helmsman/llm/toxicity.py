@@ -26,9 +26,9 @@ from .labelled import MAX_LABELLED, fold, labelled
 from .registry import register
 from .shared import ALNUM, U64, chain, documents, slices, span_hashes, split_words, text_buffer
 
-BITS = 20
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.6, 0.1
-EPOCHS = 4
+BITS = 22
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.0
+EPOCHS = 8
 THRESHOLD = 0.7
 
 
