@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extendible, lm_score, mixing, patricia, quality, secret_scan, toxicity, warc  # noqa: F401
+from . import decontaminate, extendible, lm_score, mixing, neardup, patricia, quality, secret_scan, toxicity, warc  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
