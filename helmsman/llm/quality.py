@@ -94,7 +94,7 @@ def _inverse(n: int) -> np.ndarray:
 
 def _grown(key: str, base: int, n: int) -> np.ndarray:
     if len(_tables.get(key, ())) < n:
-        powers = np.full(max(n, 1 << 21), base, U64)
+        powers = np.full(max(n, 1 << 20), base, U64)
         powers[0] = 1
         _tables[key] = np.cumprod(powers, dtype=U64)
     return _tables[key][:n]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from helmsman.session import checkpoint_root, sf_path
 
 U64 = np.uint64
-SLICE_BYTES = 2 << 20  # text bytes a task holds in numpy arrays at once (a longer text is a slice of its own)
+SLICE_BYTES = 1 << 20  # text bytes a task holds in numpy arrays at once (a longer text is a slice of its own)
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
