@@ -123,7 +123,7 @@ def write(pages: DataFrame, path: str) -> None:
     revisit = F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     (rows.join(small_side(repeated), "digest", "left").select("page_id", "url", "payload", "digest", revisit.alias("revisit"))
      .mapInArrow(_write_task, "value binary").select(F.col("value").cast("string"))
-     .write.option("compression", "gzip").option("lineSep", "\r\n").text(path))
+     .write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\r\n").text(path))
 
 
 # --- reading -----------------------------------------------------------------
