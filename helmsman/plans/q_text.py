@@ -154,8 +154,8 @@ def _redact_query(strategy: str):
 
 for _strategy, _key in (("replace", "p10_redact_replace"), ("mask", "p11_redact_mask"),
                         ("hash", "p12_redact_hash"), ("drop", "p13_redact_unknown_strategy")):
-    register(_key, sql=f"SELECT doc_id, {Q.redact('text', PiiParams(strategy=_strategy))} AS redacted FROM documents")(
-        _redact_query(_strategy))
+    register(_key, sql=f"WITH {Q.redaction_ctes('documents', 'doc_id', 'text', PiiParams(strategy=_strategy))} "
+                       "SELECT doc_id, redacted FROM pii_redacted")(_redact_query(_strategy))
 
 
 @register("p14_has_pii", sql=f"""
@@ -172,16 +172,15 @@ def p14_has_pii(spark, sf_dir):
                                     F.sum(F.when(pii.has_pii("text"), 1).otherwise(0)).cast("long").alias("n_with_pii"))
 
 
+@register("p9_pii_spans", sql=f"WITH {Q.redaction_ctes('documents', 'doc_id', 'text')} "
+          'SELECT doc_id, entity_type, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", CAST(1.0 AS DOUBLE) AS score FROM pii_spans')
 def p9_pii_spans(spark, sf_dir):
-    """Span offsets of every entity in every document (Arrow UDF; rows oracle)."""
+    """Span offsets of every entity in every document."""
     docs = fx.table(spark, sf_dir, "documents")
-    spans = pii.span_udf()("text")
-    return (docs.select("doc_id", F.explode(spans).alias("s"))
+    return (docs.select("doc_id", F.explode(pii.spans("text")).alias("s"))
             .select("doc_id", "s.entity_type", "s.start", "s.end", "s.score"))
 
 
-register("p9_pii_spans")(p9_pii_spans)
-
 
 # ---------------------------------------------------------------- validation
 @register("p16_validate_questions", sql="""

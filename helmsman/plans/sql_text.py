@@ -87,3 +87,47 @@ def redact(x: str, params: PiiParams | None = None) -> str:
         else:  # hash
             s = f"list_reduce({matches(s, e, p)}, lambda acc, m: replace(acc, m, sha256(m)), {s})"
     return s
+
+
+def redaction_ctes(table: str, key: str, x: str, params: PiiParams | None = None) -> str:
+    """CTEs ``pii_spans`` (key, entity_type, start_at, end_at) and ``pii_redacted``
+    (key, redacted) over ``table``: offsets of each entity on the original text,
+    kept by precedence, then the text rebuilt from pieces.  Names are located by
+    word runs, the other entities by the lengths of the pieces between matches."""
+    p = params or PiiParams()
+    regexes = {"EMAIL_ADDRESS": P.EMAIL_RE, "CREDIT_CARD": P.CARD_RE, "SSN": P.SSN_RE, "PHONE_NUMBER": P.PHONE_RE}
+    names = ", ".join(q(n) for n in p.person_names)
+    ctes, kept = [f"pii_t AS (SELECT {key}, coalesce({x}, '') AS t FROM {table})"], []
+    for i, e in enumerate(e for e in P.ORDER if e in p.entities):
+        if e == "PERSON":
+            runs = "regexp_extract_all(t, '[\\pL\\pM\\pN_]+|[^\\pL\\pM\\pN_]+')"
+            raw = (f"SELECT {key}, m, CAST(sum(length(m)) OVER (PARTITION BY {key} ORDER BY k) AS BIGINT) AS e FROM "
+                   f"(SELECT {key}, unnest({runs}) AS m, generate_subscripts({runs}, 1) AS k FROM pii_t)")
+            ok = f"m IN ({names})"
+        else:
+            pieces, found = f"regexp_split_to_array(t, {q(regexes[e])})", f"regexp_extract_all(t, {q(regexes[e])})"
+            raw = (f"SELECT {key}, m, CAST(sum(length(m) + length(piece)) OVER (PARTITION BY {key} ORDER BY k) AS BIGINT) AS e FROM "
+                   f"(SELECT {key}, unnest({found}) AS m, unnest({pieces}[1:len({found})]) AS piece, generate_subscripts({found}, 1) AS k FROM pii_t WHERE len({found}) > 0)")
+            ok = luhn("m") if e == "CREDIT_CARD" else "true"
+        ctes.append(f"pii_r{i} AS (SELECT {key}, {q(e)} AS entity_type, e - length(m) AS s, e, m FROM ({raw}) WHERE {ok})")
+        free = " AND ".join(f"NOT EXISTS (SELECT 1 FROM pii_k{j} b WHERE b.{key} = a.{key} AND a.s < b.e AND b.s < a.e)" for j in kept) or "true"
+        ctes.append(f"pii_k{i} AS (SELECT * FROM pii_r{i} a WHERE {free})")
+        kept.append(i)
+    ctes.append("pii_spans AS (" + " UNION ALL ".join(f"SELECT * FROM pii_k{i}" for i in kept) + ")")
+    if p.strategy == "mask":
+        new = "repeat('*', least(length(m), 100)) || substring(m, 101)"
+    elif p.strategy == "hash":
+        new = "sha256(m)"
+    elif p.strategy == "replace":
+        new = "CASE entity_type " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in P.PII_LABELS) + " END"
+    else:
+        new = q(PII_DEFAULT_LABEL)
+    ctes.append(f"""pii_redacted AS (
+  SELECT t.{key}, coalesce(w.out || substring(t.t, CAST(w.last AS BIGINT) + 1), t.t) AS redacted
+  FROM pii_t t LEFT JOIN (
+    SELECT {key}, string_agg(before || new, '' ORDER BY s) AS out, max(e) AS last FROM (
+      SELECT {key}, s, e, {new} AS new,
+             substring(t, CAST(coalesce(lag(e) OVER o, 0) AS BIGINT) + 1, CAST(s - coalesce(lag(e) OVER o, 0) AS BIGINT)) AS before
+      FROM pii_spans JOIN pii_t USING ({key}) WINDOW o AS (PARTITION BY {key} ORDER BY s))
+    GROUP BY {key}) w ON w.{key} = t.{key})""")
+    return ",\n".join(ctes)

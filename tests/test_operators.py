@@ -62,9 +62,22 @@ def test_mask_and_hash(spark):
     assert u == "x [REDACTED] y"
 
 
+def test_mask_and_hash_replace_spans_only(spark):
+    import hashlib
+
+    s = "Mr Johnson met John, a@b.org and 4111111111111111; x4111111111111111y Éva John"
+    mask = one(spark, pii.redact("t", PiiParams(strategy="mask")), s)
+    assert mask == "Mr Johnson met ****, ******* and " + "*" * 16 + "; x" + "*" * 16 + "y Éva ****"
+    digest = {v: hashlib.sha256(v.encode()).hexdigest() for v in ("John", "a@b.org", "4111111111111111")}
+    want = s.replace("met John", "met " + digest["John"]).replace("Éva John", "Éva " + digest["John"])
+    for v in ("a@b.org", "4111111111111111"):
+        want = want.replace(v, digest[v])
+    assert one(spark, pii.redact("t", PiiParams(strategy="hash")), s) == want
+
+
 def test_span_offsets(spark):
     s = "mail a.b@c.org now"
-    spans = spark.createDataFrame([(s,)], "t string").select(pii.span_udf()("t").alias("x")).first()["x"]
+    spans = spark.createDataFrame([(s,)], "t string").select(pii.spans("t").alias("x")).first()["x"]
     assert [(r["entity_type"], s[r["start"]:r["end"]]) for r in spans] == [("EMAIL_ADDRESS", "a.b@c.org")]
 
 
