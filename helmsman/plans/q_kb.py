@@ -65,6 +65,27 @@ def s2_s3_ingest_pages(spark, sf_dir):
     return new.select("id", "title", F.length("content").cast("long").alias("content_chars"))
 
 
+@register("s2_s3_ingest_documents", sql="""
+SELECT (SELECT max(doc_id) FROM documents) + row_number() OVER (ORDER BY title ASC NULLS FIRST, text ASC) AS id,
+       title, sha256(text) AS content_sha256, lang, source, n_chars
+FROM (SELECT *, source || '/' || CAST(doc_id % 97 AS VARCHAR) AS title FROM documents) WHERE length(text) >= 1
+QUALIFY count(*) OVER (PARTITION BY title, text) = 1
+""")
+def s2_s3_ingest_documents(spark, sf_dir):
+    """Ingest every document again under a title that repeats, with its metadata
+    map: dense unique ids over all columns.  Articles with equal title and text
+    are numbered too, but are left out here, as SQL cannot tell them apart."""
+    kb = fx.knowledge_base(spark, sf_dir)
+    docs = fx.table(spark, sf_dir, "documents")
+    arts = docs.select(F.concat_ws("/", "source", (F.col("doc_id") % 97).cast("string")).alias("title"), F.col("text").alias("content"),
+                       F.create_map(F.lit("lang"), "lang", F.lit("source"), "source", F.lit("n_chars"), F.col("n_chars").cast("string")).alias("metadata"))
+    new = KB.ingest(kb, arts, fx.as_of(spark, sf_dir))
+    twins = new.groupBy("title", "content").count().where("count > 1").drop("count")
+    return new.join(twins, ["title", "content"], "left_anti").select(
+        "id", "title", F.sha2("content", 256).alias("content_sha256"), F.col("metadata")["lang"].alias("lang"),
+        F.col("metadata")["source"].alias("source"), F.col("metadata")["n_chars"].cast("long").alias("n_chars"))
+
+
 @register("s8_s5_soft_delete_toxic", sql="""
 SELECT d.lang, sum(CASE WHEN l.toxic = 1 THEN 0 ELSE 1 END)::BIGINT AS n_active,
        sum(CASE WHEN l.toxic = 1 THEN 1 ELSE 0 END)::BIGINT AS n_inactive

@@ -272,22 +272,67 @@ def test_pruned_bm25_topk_equals_exhaustive(spark):
     assert a == b
 
 
-def test_saved_bucketed_index_equals_fresh(spark, scratch):
+@pytest.mark.parametrize("partitions", ["3", "8", "16"])
+def test_saved_bucketed_index_equals_fresh(spark, scratch, partitions):
+    """Loaded under other partition settings than it was saved with."""
     from helmsman.sources import fixtures as fx
     from tests.conftest import SF_SMALL
 
     docs = fx.table(spark, SF_SMALL, "documents").select("doc_id", "text")
     idx = bm25.build_index(docs)
-    bm25.save_index(idx, scratch, "test_bm25_postings", buckets=4)
-    spark.catalog.dropTable("test_bm25_postings") if hasattr(spark.catalog, "dropTable") else spark.sql(
-        "DROP TABLE IF EXISTS test_bm25_postings")
-    idx2 = bm25.load_index(spark, scratch, "test_bm25_postings", buckets=4)
-    assert (idx2.n_docs, idx2.avgdl) == (idx.n_docs, idx.avgdl)
-    assert idx2.avg_idf == pytest.approx(idx.avg_idf, abs=1e-12)
-    qs = fx.user_questions(spark, SF_SMALL)
-    a = {tuple(r) for r in bm25.search(idx, qs, k=5).collect()}
-    b = {tuple(r) for r in bm25.search(idx2, qs, k=5).collect()}
-    assert a == b and a
+    table = f"test_bm25_postings_{partitions}"
+    bm25.save_index(idx, scratch, table, buckets=4)
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        idx2 = bm25.load_index(spark, scratch, table)
+        assert idx2.postings.select("doc_id").distinct().count() == idx.postings.select("doc_id").distinct().count()
+        assert idx2.postings.count() == idx.postings.count()
+        assert (idx2.n_docs, idx2.avgdl) == (idx.n_docs, idx.avgdl)
+        assert idx2.avg_idf == pytest.approx(idx.avg_idf, abs=1e-12)
+        qs = fx.user_questions(spark, SF_SMALL)
+        a = {tuple(r) for r in bm25.search(idx, qs, k=5).collect()}
+        b = {tuple(r) for r in bm25.search(idx2, qs, k=5).collect()}
+        assert a == b and a
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_saved_index_refuses_another_layout_or_parameters(spark, scratch):
+    from helmsman.config import Bm25Params
+
+    docs = spark.createDataFrame([(i, f"word{i} common") for i in range(20)], "doc_id long, text string")
+    bm25.save_index(bm25.build_index(docs), scratch, "test_bm25_refused", buckets=4)
+    with pytest.raises(ValueError):
+        bm25.load_index(spark, scratch, "test_bm25_refused", Bm25Params(k1=2.0))
+    spark.sql("DROP TABLE test_bm25_refused")
+    spark.sql(f"CREATE TABLE test_bm25_refused (doc_id BIGINT, dl INT, term STRING, tf BIGINT) USING parquet "
+              f"CLUSTERED BY (doc_id) SORTED BY (doc_id) INTO 8 BUCKETS LOCATION '{scratch}/postings'")
+    with pytest.raises(ValueError):
+        bm25.load_index(spark, scratch, "test_bm25_refused")
+
+
+def test_upsert_adds_documents(spark):
+    docs = spark.createDataFrame([(i, f"word{i} common") for i in range(20)], "doc_id long, text string")
+    more = spark.createDataFrame([(3, "changed text"), (99, "new words")], "doc_id long, text string")
+    index = bm25.upsert_documents(bm25.build_index(docs), more)
+    whole = bm25.build_index(docs.where("doc_id <> 3").unionByName(more))
+    assert (index.n_docs, index.avgdl) == (whole.n_docs, whole.avgdl)
+    assert sorted(map(tuple, index.postings.collect())) == sorted(map(tuple, whole.postings.collect()))
+
+
+def test_ids_are_dense_and_unique_with_all_columns(spark):
+    """The numbered rows carry columns outside the sort key."""
+    from pyspark.sql import functions as F
+
+    from helmsman.operators.numbering import assign_ids
+
+    rows = spark.range(30_000).select(F.pmod(F.xxhash64("id"), F.lit(50)).alias("k"), F.concat(F.lit("payload "), "id").alias("payload"),
+                                      F.create_map(F.lit("a"), F.col("id").cast("string")).alias("m"))
+    out = assign_ids(rows.repartition(7), [F.col("k")], start=11)
+    assert tuple(out.agg(F.min("id"), F.max("id"), F.countDistinct("id"), F.countDistinct("payload")).first()) == (11, 30_010, 30_000, 30_000)
+    assert out.join(out.select((F.col("id") + 1).alias("id"), F.col("k").alias("before")), "id").where("k < before").count() == 0
 
 
 def test_saved_language_profile_detects_the_same(spark, scratch):
