@@ -79,13 +79,15 @@ def search(index: bm25_op.Bm25Index, kb: DataFrame, queries: DataFrame, params:
            with_documents: bool = True) -> DataFrame:
     """H6: hybrid search for every query row (query_id, text, vector).
 
-    Disabled -> no rows; empty text -> no BM25 hits (the vector side still runs
-    when a vector is present)."""
+    Disabled, or a null or blank text -> no rows for the question, whether or not
+    it has a vector."""
     p = params or HybridParams()
     if not p.enabled:
+        more = ", title string, content string, metadata map<string,string>" if with_documents else ""
         return queries.sparkSession.createDataFrame(
             [], "query_id long, doc_id long, combined_score double, bm25_score double, "
-                "semantic_score double, rank long")
+                f"semantic_score double, rank long{more}")
+    queries = queries.filter(F.length(F.trim("text")) > 0)
     k = top_k or p.top_k
     a = p.alpha if alpha is None else alpha
     fetch = 2 * k

@@ -149,7 +149,7 @@ def k6_s9_remove_low_quality(spark, sf_dir):
 
 @register("k8_bm25_guards", sql=f"""
 WITH {S.BM25_INDEX},
-qs AS (SELECT conv_id * 1000 + turn AS query_id, text FROM conversations),
+qs AS (SELECT conv_id * 2147483648 + turn AS query_id, text FROM conversations),
 {S.bm25_scores('qs')}
 SELECT qs.query_id, count(s.doc_id)::BIGINT AS n_matching
 FROM qs LEFT JOIN bm25_sc s ON s.query_id = qs.query_id AND s.score > 0 GROUP BY qs.query_id
@@ -159,7 +159,7 @@ def k8_bm25_guards(spark, sf_dir):
     turn (empty queries match nothing)."""
     index = bm25.build_index(fx.table(spark, sf_dir, "documents").select("doc_id", "text"))
     conv = fx.table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+        fx.turn_id().alias("query_id"), "text")
     sc = bm25.scores(index, conv).filter(F.col("score") > 0)
     n = sc.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_matching"))
     return conv.select("query_id").join(n, "query_id", "left").select(
@@ -255,7 +255,7 @@ def a23_threshold_sweep(spark, sf_dir):
 
 
 @register("g6_cache_keys", sql=f"""
-SELECT sha256({Q.clean('text')}) AS qhash, count(*)::BIGINT AS n_questions, min(conv_id * 1000 + turn) AS rep_id
+SELECT sha256({Q.clean('text')}) AS qhash, count(*)::BIGINT AS n_questions, min(conv_id * 2147483648 + turn) AS rep_id
 FROM conversations WHERE role = 'user' GROUP BY 1
 """)
 def g6_cache_keys(spark, sf_dir):

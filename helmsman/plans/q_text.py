@@ -46,7 +46,7 @@ def p6_clean_pages(spark, sf_dir):
 
 
 @register("p3_clean_lowercase_questions", sql=f"""
-SELECT conv_id * 1000 + turn AS query_id, {Q.clean('text', lowercase=True)} AS cleaned
+SELECT conv_id * 2147483648 + turn AS query_id, {Q.clean('text', lowercase=True)} AS cleaned
 FROM conversations WHERE role = 'user'
 """)
 def p3_clean_lowercase_questions(spark, sf_dir):
@@ -80,7 +80,7 @@ def p7_word_tokens(spark, sf_dir):
 
 
 @register("p8_bm25_tokens", sql=f"""
-SELECT conv_id * 1000 + turn AS query_id, len({Q.bm25_tokens('text')}) AS n_tokens,
+SELECT conv_id * 2147483648 + turn AS query_id, len({Q.bm25_tokens('text')}) AS n_tokens,
        array_to_string({Q.bm25_tokens('text')}, '|') AS tokens
 FROM conversations WHERE role = 'user'
 """)
@@ -92,13 +92,13 @@ def p8_bm25_tokens(spark, sf_dir):
 
 
 @register("p18_model_input_length", sql="""
-SELECT conv_id * 1000 + turn AS query_id, length(text) AS n_chars, length(substring(text, 1, 512)) AS model_chars
+SELECT conv_id * 2147483648 + turn AS query_id, length(text) AS n_chars, length(substring(text, 1, 512)) AS model_chars
 FROM conversations
 """)
 def p18_model_input_length(spark, sf_dir):
     """Characters of every turn and of its 512-character model input."""
     conv = fx.table(spark, sf_dir, "conversations")
-    return conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+    return conv.select(fx.turn_id().alias("query_id"),
                        F.length("text").cast("long").alias("n_chars"),
                        F.length(T.model_input("text")).cast("long").alias("model_chars"))
 
@@ -184,7 +184,7 @@ def p9_pii_spans(spark, sf_dir):
 
 # ---------------------------------------------------------------- validation
 @register("p16_validate_questions", sql="""
-SELECT conv_id * 1000 + turn AS query_id,
+SELECT conv_id * 2147483648 + turn AS query_id,
        (text IS NOT NULL AND length(text) >= 1) AS is_valid,
        CASE WHEN text IS NULL THEN 'text_null' WHEN length(text) < 1 THEN 'text_empty' END AS reject_reason
 FROM conversations
@@ -193,7 +193,7 @@ def p16_validate_questions(spark, sf_dir):
     """Request validation of every conversation turn (text present and non-empty)."""
     conv = fx.table(spark, sf_dir, "conversations")
     ok, why = T.validate_query("text")
-    return conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), ok.alias("is_valid"),
+    return conv.select(fx.turn_id().alias("query_id"), ok.alias("is_valid"),
                        why.alias("reject_reason"))
 
 
@@ -286,7 +286,7 @@ def l1_language_accuracy(spark, sf_dir):
 
 
 @register("l1_language_questions", sql="WITH " + _lang_sql_parts(
-    "conversations", "conv_id * 1000 + turn", "text", "role = 'user'") + """
+    "conversations", "conv_id * 2147483648 + turn", "text", "role = 'user'") + """
 SELECT id AS query_id, language, raw_language, supported FROM det
 """)
 def l1_language_questions(spark, sf_dir):
@@ -297,7 +297,7 @@ def l1_language_questions(spark, sf_dir):
 
 
 @register("l2_language_probs", sql="WITH " + _lang_sql_parts(
-    "conversations", "conv_id * 1000 + turn", "text", "role = 'user'") + """
+    "conversations", "conv_id * 2147483648 + turn", "text", "role = 'user'") + """
 , mx AS (SELECT id, max(score) AS m FROM sc GROUP BY id),
 z AS (SELECT sc.id, sum(exp(sc.score - mx.m)) AS z FROM sc JOIN mx USING (id) GROUP BY sc.id)
 SELECT sc.id AS query_id, sc.lang, round(exp(sc.score - mx.m) / z.z, 6) AS prob
@@ -316,9 +316,9 @@ _CLEANED = Q.clean("text")
 
 
 @register("p15_prepare_questions", sql="WITH " + _lang_sql_parts(
-    "conversations", "conv_id * 1000 + turn", Q.clean("text"), "role = 'user'") + f"""
+    "conversations", "conv_id * 2147483648 + turn", Q.clean("text"), "role = 'user'") + f"""
 , pr AS (
-  SELECT conv_id * 1000 + turn AS query_id, length(text)::BIGINT AS text_length,
+  SELECT conv_id * 2147483648 + turn AS query_id, length(text)::BIGINT AS text_length,
          length({_CLEANED})::BIGINT AS cleaned_length,
          length({Q.redact(_CLEANED)})::BIGINT AS anonymized_length,
          (len({Q.matches(_CLEANED, 'EMAIL_ADDRESS')}) + len({Q.matches(_CLEANED, 'CREDIT_CARD')})

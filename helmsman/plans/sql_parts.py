@@ -39,7 +39,7 @@ BM25_INDEX = bm25_index("documents")
 # Query terms of every user question.
 USER_QUESTIONS = r"""
 uq AS (
-  SELECT conv_id * 1000 + turn AS query_id, text, conv_id, turn
+  SELECT conv_id * 2147483648 + turn AS query_id, text, conv_id, turn
   FROM conversations WHERE role = 'user'
 )
 """

@@ -6,7 +6,7 @@ size grows with them.  The mapping is:
 * knowledge base  = ``documents`` (id = doc_id, content = text, metadata = lang
   and source) left-joined to ``embeddings`` on ``vec_id = doc_id``;
 * user questions  = every ``conversations`` turn with ``role = 'user'``
-  (``query_id = conv_id * 1000 + turn``), whole text;
+  (``query_id = conv_id * 2147483648 + turn``), whole text;
 * vector questions = every document that has an embedding, whole text, with
   that embedding as its query vector;
 * request log     = ``events`` (latency = value, handoff for ``error`` rows,
@@ -16,7 +16,7 @@ size grows with them.  The mapping is:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import sf_path
@@ -34,6 +34,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(sf_path(sf_dir, name))
 
 
+TURNS = 1 << 31  # turns a conversation may have; one key per (conversation, turn)
+
+
+def turn_id() -> Column:
+    """The question id of a turn; a turn outside the key's range is an error."""
+    inside = F.col("turn").between(0, TURNS - 1)
+    return F.when(inside | F.col("turn").isNull(), F.col("conv_id") * TURNS + F.col("turn")).otherwise(
+        F.raise_error(F.lit("a turn is outside 0 .. 2^31 - 1")).cast("long"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, embedding), one vector per id: the smallest where an id repeats."""
+    return (table(spark, sf_dir, "embeddings").groupBy(F.col("vec_id").alias("id"))
+            .agg(F.min("embedding").alias("embedding")))
+
+
 def knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KB rows: id, title, content, metadata, embedding, embedding_model,
     created_at, updated_at, is_active."""
@@ -42,9 +58,7 @@ def knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     # lets Catalyst drop this join from plans that read no vector column (the
     # BM25 index build), and costs nothing where the join is needed: the
     # de-duplication and the join share the same partitioning by id.
-    vecs = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"), F.col("embedding")
-    ).dropDuplicates(["id"])
+    vecs = vectors(spark, sf_dir)
     created = F.to_timestamp(F.lit(KB_CREATED_AT))
     return (
         docs.select(
@@ -65,7 +79,7 @@ def user_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, text, conv_id, turn) for every user turn."""
     conv = table(spark, sf_dir, "conversations")
     return conv.filter(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+        turn_id().alias("query_id"),
         F.col("text"),
         F.col("conv_id"),
         F.col("turn"),
@@ -75,8 +89,8 @@ def user_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, text, vector) for every document that has an embedding."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return docs.join(vecs, docs.doc_id == vecs.vec_id, "inner").select(
+    vecs = vectors(spark, sf_dir)
+    return docs.join(vecs, docs.doc_id == vecs.id, "inner").select(
         F.col("doc_id").alias("query_id"), F.col("text"), F.col("embedding").alias("vector")
     )
 

@@ -6,6 +6,8 @@ written, a new snapshot directory); no job overwrites the path it reads.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,9 +84,16 @@ def active_count(kb: DataFrame) -> DataFrame:
 
 def update(kb: DataFrame, updates: DataFrame, as_of) -> DataFrame:
     """S6 + S7: per-column update by id (null update column keeps the old value);
-    ``updated_at`` set on every touched row; unknown ids are ignored."""
-    u = updates.select(F.col("id").alias("_uid"),
-                       *[F.col(c).alias(f"_u_{c}") for c in ("content", "embedding", "metadata") if c in updates.columns])
+    ``updated_at`` set on every touched row; unknown ids and updates that give
+    nothing are ignored; of several updates of one id the last in the order of
+    their JSON text is taken."""
+    given = [c for c in ("content", "embedding", "metadata") if c in updates.columns]
+    if not given:
+        return kb
+    some = reduce(lambda x, y: x | y, (F.col(c).isNotNull() for c in given))
+    row = F.struct(*given)
+    u = updates.filter(some).groupBy(F.col("id").alias("_uid")).agg(F.max_by(row, F.to_json(row)).alias("_u"))
+    u = u.select("_uid", *[F.col(f"_u.{c}").alias(f"_u_{c}") for c in given])
     j = kb.join(u, kb.id == u._uid, "left")
     touched = F.col("_uid").isNotNull()
     cols = []

@@ -10,7 +10,9 @@ Checkpoints live under ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -142,11 +144,20 @@ COUNT_STATE = "count long"
 
 def retrain_triggers(feedback: DataFrame, threshold: int = RETRAIN_THRESHOLD) -> DataFrame:
     """W4 (streaming): one row each time a feedback type accumulates another
-    ``threshold`` items (state: running count per type)."""
+    ``threshold`` items (state: running count per type).  Every task counts its
+    own rows first, so a hot type sends one row per task to its state."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for batch in batches:
+            for kind, n in batch["feedback_type"].value_counts(dropna=False).items():
+                kind = None if pd.isna(kind) else kind
+                total[kind] = total.get(kind, 0) + int(n)
+        yield pd.DataFrame({"feedback_type": pd.Series(list(total), dtype=object), "n": pd.Series(list(total.values()), dtype="int64")})
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = state.get[0] if state.exists else 0
-        n = sum(len(p) for p in pdfs)
+        n = sum(int(p["n"].sum()) for p in pdfs)
         total = seen + n
         fired = list(range((seen // threshold + 1) * threshold, total + 1, threshold))
         state.update((total,))
@@ -154,7 +165,8 @@ def retrain_triggers(feedback: DataFrame, threshold: int = RETRAIN_THRESHOLD) ->
             yield pd.DataFrame({"feedback_type": [key[0]] * len(fired), "fired_at_count": fired,
                                 "total": [total] * len(fired)})
 
-    return feedback.groupBy("feedback_type").applyInPandasWithState(
+    counts = feedback.select("feedback_type").mapInPandas(counted, "feedback_type string, n long")
+    return counts.groupBy("feedback_type").applyInPandasWithState(
         step, TRIGGER_SCHEMA, COUNT_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -174,12 +186,28 @@ def suppress_repeats(questions: DataFrame, watermark: str = "1 hour", ts: str =
     h = questions.withColumn("query_hash", context.query_hash(TX.clean("text")))
     if h.isStreaming:
         return h.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["query_hash"])
-    # Batch twin: the earliest question per (hash, delay-long time bucket), a
-    # partial/final aggregate (a hot hash is pre-aggregated in every task).
-    secs = _seconds(watermark)
-    bucket = F.floor(F.unix_seconds(F.col(ts)) / F.lit(secs))
-    first = h.groupBy("query_hash", bucket.alias("_b")).agg(F.min_by(F.struct(*h.columns), F.col(ts)).alias("_r"))
-    return first.select("_r.*")
+    # Batch twin: a question stays if the last kept one of its hash is at least
+    # the delay older.  Equal (hash, time) rows are one row before the shuffle;
+    # the rest streams through in time order, one time per hash in memory.
+    delay = pd.Timedelta(seconds=_seconds(watermark))
+    row = F.struct(*h.columns)
+    first = h.groupBy("query_hash", F.col(ts).alias("_ts")).agg(F.min_by(row, F.to_json(row)).alias("_r"))
+    times = (first.select("query_hash", "_ts").repartition("query_hash").sortWithinPartitions("query_hash", "_ts"))
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_hash, last = None, None
+        for batch in batches:
+            keep = []
+            for key, at in zip(batch["query_hash"], batch["_ts"]):
+                new = key != last_hash or last is None or pd.isna(at) or at - last >= delay
+                keep.append(new)
+                if new:
+                    last_hash, last = key, None if pd.isna(at) else at
+            yield batch[keep]
+
+    stay = times.mapInPandas(kept, times.schema)
+    same = [first["query_hash"] == stay["query_hash"], first["_ts"].eqNullSafe(stay["_ts"])]
+    return first.join(stay, same, "left_semi").select("_r.*")
 
 
 def _seconds(interval: str) -> int:
@@ -201,50 +229,100 @@ def _epoch_writer(base: str, build):
 def start_routing(questions: DataFrame, kb: DataFrame, out_dir: str, checkpoint: str | None = None,
                   trigger_once: bool = True):
     """Every micro-batch of questions (query_id, text, vector) runs the batch
-    answer plan; query, retrieval and response logs are written per epoch."""
+    answer plan; query, retrieval and response logs are written per epoch and the
+    batch's cached frames are released.  ``kb`` may be a function that returns
+    (KB rows, BM25 index) and is asked again for each micro-batch, so new rows
+    are found."""
     from ..operators import bm25
     from ..plans import end_to_end
 
     spark = questions.sparkSession
-    index = bm25.build_index(kb.filter(F.col("is_active")).select(F.col("id").alias("doc_id"),
-                                                                  F.col("content").alias("text")))
+    if callable(kb):
+        current = kb
+    else:
+        fixed = (kb, bm25.build_index(kb.filter(F.col("is_active")).select(F.col("id").alias("doc_id"), F.col("content").alias("text"))))
+        current = lambda: fixed
 
     def build(batch: DataFrame) -> dict[str, DataFrame]:
-        res = end_to_end.answer(batch, kb, index)
+        rows, index = current()
+        res = end_to_end.answer(batch, rows, index)
+        held.append(res)
         q = res.queries.select("query_id", "route", "reason", "confidence", "retrieval_count",
                                F.col("sentiment.label").alias("sentiment"))
         h = res.hits.select("query_id", "doc_id", "rank", "combined_score")
         r = res.queries.filter(F.col("response_text").isNotNull()).select("query_id", "response_text", "generated_by")
         return {"queries": q, "retrievals": h, "responses": r}
 
-    w = questions.writeStream.foreachBatch(_epoch_writer(out_dir, build)).option(
-        "checkpointLocation", checkpoint or scratch_path(spark, "w1-routing"))
+    held: list = []
+    write = _epoch_writer(out_dir, build)
+
+    def write_and_release(batch: DataFrame, epoch: int) -> None:
+        try:
+            write(batch, epoch)
+        finally:
+            while held:
+                held.pop().release()
+
+    w = questions.writeStream.foreachBatch(write_and_release).option(
+        "checkpointLocation", checkpoint or scratch_path(spark, f"w1-routing-{uuid.uuid4().hex}"))
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def start_ingest(articles: DataFrame, kb_base: str, kb: DataFrame, as_of, checkpoint: str | None = None):
+def start_ingest(articles: DataFrame, kb_base: str, kb: DataFrame, as_of, checkpoint: str | None = None,
+                 on_increment: Callable[[DataFrame, int], None] | None = None):
     """Each micro-batch of articles is ingested (ids after the current max
     over the base KB and every earlier increment) and written as its own
-    increment directory; the KB is the base plus all increments, and the BM25
-    index derives from it (``operators.bm25.update_documents`` for changes)."""
-    from ..sources import kb as KB
+    increment directory; the KB is the base plus all increments.
 
+    A retried epoch does not see its own earlier output, so its ids stay the
+    same.  Increments of another checkpoint are never overwritten: a stream with
+    a fresh checkpoint has its own ``stream=`` folder and continues after all
+    others.  ``on_increment(rows, epoch)`` gets each written increment, for
+    example to ``bm25.upsert_documents`` into an index."""
     spark = articles.sparkSession
+    where = checkpoint or scratch_path(spark, f"w6-ingest-{uuid.uuid4().hex}")
+    return (articles.writeStream.foreachBatch(ingest_writer(kb_base, kb, as_of, where, on_increment))
+            .option("checkpointLocation", where).trigger(availableNow=True).start())
+
+
+def ingest_writer(kb_base: str, kb: DataFrame, as_of, checkpoint: str,
+                  on_increment: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """The ``foreachBatch`` function of ``start_ingest``."""
+    from ..sources import kb as KB
+
+    spark = kb.sparkSession
+    own = f"stream={hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
+
+    def earlier(epoch: int) -> list[str]:
+        found = []
+        for stream in _folders(spark, kb_base, "stream="):
+            for name in _folders(spark, f"{kb_base}/{stream}", "epoch="):
+                if stream != own or int(name.split("=")[1]) < epoch:
+                    found.append(f"{kb_base}/{stream}/{name}")
+        return found
 
     def write(batch: DataFrame, epoch: int) -> None:
-        current = kb
-        if epoch > 0:
-            try:
-                current = kb.unionByName(KB.read_snapshot(spark, f"{kb_base}/epoch=*"))
-            except Exception:  # no increment written yet
-                current = kb
-        new = KB.ingest(current, batch, as_of)
-        new.write.mode("overwrite").parquet(f"{kb_base}/epoch={epoch}")
-
-    return (articles.writeStream.foreachBatch(write)
-            .option("checkpointLocation", checkpoint or scratch_path(spark, "w6-ingest"))
-            .trigger(availableNow=True).start())
+        paths = earlier(epoch)
+        current = kb.select("id")
+        if paths:
+            current = current.unionByName(spark.read.parquet(*paths).select("id"))
+        to = f"{kb_base}/{own}/epoch={epoch}"
+        KB.ingest(current, batch, as_of).write.mode("overwrite").parquet(to)
+        if on_increment is not None:
+            on_increment(spark.read.parquet(to), epoch)
+
+    return write
+
+
+def _folders(spark, path: str, prefix: str) -> list[str]:
+    """Names of the folders below ``path`` that start with ``prefix`` (none where
+    ``path`` does not exist; any other error is raised)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory() and s.getPath().getName().startswith(prefix))
 
 
 def event_source_dir(sf_dir: str) -> str:

@@ -151,6 +151,7 @@ def test_topk_kernel_matches_brute_force():
     top = knn.TopK(7, 4)
     for i in range(0, 300, 37):
         top.add(np.round(q @ d[i:i + 37].T, 6), ids[i:i + 37])
+    top.prune()
     full = np.round(q @ d.T, 6)
     for r in range(7):
         order = sorted(range(300), key=lambda j: (-full[r, j], ids[j]))[:4]
@@ -348,3 +349,65 @@ def test_saved_language_profile_detects_the_same(spark, scratch):
     a = {tuple(r) for r in language.detect(docs, prof, "doc_id", "text").collect()}
     b = {tuple(r) for r in language.detect(docs, prof2, "doc_id", "text").collect()}
     assert a == b and a
+
+
+def test_hybrid_search_disabled_and_empty_question(spark):
+    from helmsman.config import HybridParams
+    from helmsman.operators import fusion
+    from helmsman.sources import fixtures as fx
+    from tests.conftest import SF_SMALL
+
+    kb = fx.knowledge_base(spark, SF_SMALL)
+    index = bm25.build_index(kb.select(fx.F.col("id").alias("doc_id"), fx.F.col("content").alias("text")))
+    qs = fx.vector_questions(spark, SF_SMALL).limit(3)
+    on = fusion.search(index, kb, qs.withColumn("text", fx.F.lit("  ")))
+    off = fusion.search(index, kb, qs, HybridParams(enabled=False))
+    assert on.count() == 0 and off.count() == 0 and set(off.columns) == set(on.columns)
+
+
+def test_vectors_of_another_length_are_rejected(spark):
+    from helmsman.operators import knn
+
+    kb = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0]), (4, None), (5, [1.0, 1.0, 1.0])], "id long, embedding array<float>")
+    qs = spark.createDataFrame([(10, [1.0, 0.1]), (11, [1.0])], "query_id long, vector array<float>")
+    got = knn.search(kb, qs, 2, active_only=False).collect()
+    assert [(r["query_id"], r["doc_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(10, 1), (10, 2)]
+    assert sorted(map(tuple, knn.rejects(kb, 2).collect())) == [(3, 1), (5, 3)]
+
+
+def test_knn_tiles_do_not_change_the_result(spark, monkeypatch):
+    import numpy as np
+
+    from helmsman.operators import knn
+
+    rng = np.random.default_rng(4)
+    q, d = rng.normal(size=(37, 8)), rng.normal(size=(300, 8))
+    d[10] = d[20]
+
+    def top(tile):
+        monkeypatch.setattr(knn, "QUERY_TILE", tile)
+        monkeypatch.setattr(knn, "MAX_SCORE_CELLS", tile * 16)
+        tiles = knn.Tiles(np.arange(37), q, 5)
+        for i in range(0, 300, 70):
+            tiles.add(d[i:i + 70], np.arange(i, min(i + 70, 300)))
+        return {(int(a), int(b)) for f in tiles.frames() for a, b in zip(f.query_id, f.doc_id)}
+
+    scores = q @ d.T
+    want = {(i, int(j)) for i in range(37) for j in np.flatnonzero(scores[i] >= np.sort(scores[i])[-5] - knn.TIE_TOL)}
+    assert top(8) == top(2048) == want
+
+
+def test_duplicate_and_empty_updates(spark):
+    import datetime as dt
+
+    from helmsman.sources import fixtures as fx
+    from helmsman.sources import kb as KB
+    from tests.conftest import SF_SMALL
+
+    kb = fx.knowledge_base(spark, SF_SMALL)
+    updates = spark.createDataFrame([(1, "new a"), (1, "new b"), (2, None), (10**9, "unknown")], "id long, content string")
+    out = KB.update(kb, updates, dt.datetime(2030, 1, 1))
+    assert out.count() == kb.count()
+    changed = {r["id"]: r["content"] for r in out.where("updated_at > '2029-01-01'").collect()}
+    assert changed == {1: "new b"}
+    assert KB.update(kb, updates.select("id"), dt.datetime(2030, 1, 1)).where("updated_at > '2029-01-01'").count() == 0

@@ -122,8 +122,73 @@ def test_ingest_stream_appends_increments(spark, scratch):
     base = os.path.join(scratch, "kb")
     q = jobs.start_ingest(stream, base, kb, dt.datetime(2024, 2, 1), os.path.join(scratch, "ck6"))
     q.awaitTermination()
-    inc = KB.read_snapshot(spark, f"{base}/epoch=*")
+    inc = KB.read_snapshot(spark, f"{base}/stream=*/epoch=*")
     ids = [r["id"] for r in inc.select("id").collect()]
     max_base = kb.agg(F.max("id")).first()[0]
     assert len(ids) == pages.count() and len(set(ids)) == len(ids) and min(ids) == max_base + 1
     assert sorted(ids) == list(range(max_base + 1, max_base + 1 + len(ids)))
+
+
+def test_ingest_retry_keeps_ids_and_other_streams(spark, scratch):
+    from helmsman.operators import bm25
+    from helmsman.sources import fixtures as fx
+
+    kb = fx.knowledge_base(spark, SF_SMALL)
+    batch = [spark.createDataFrame([(f"t{i}", f"content {i}", {"source": "web"}) for i in r], "title string, content string, metadata map<string,string>")
+             for r in (range(5), range(5, 12), range(12, 15))]
+    index = bm25.build_index(kb.select(fx.F.col("id").alias("doc_id"), fx.F.col("content").alias("text")))
+    state = {"index": index}
+
+    def grow(rows, _epoch):
+        state["index"] = bm25.upsert_documents(state["index"], rows.select(fx.F.col("id").alias("doc_id"), fx.F.col("content").alias("text")))
+
+    base = os.path.join(scratch, "kb")
+    write = jobs.ingest_writer(base, kb, dt.datetime(2024, 2, 1), "checkpoint-a", grow)
+
+    def ids(path):
+        return sorted(r["id"] for r in spark.read.parquet(path).select("id").collect())
+
+    write(batch[0], 0)
+    write(batch[1], 1)
+    first = ids(base + "/stream=*/epoch=1")
+    write(batch[1], 1)  # a retried epoch
+    assert ids(base + "/stream=*/epoch=1") == first
+    jobs.ingest_writer(base, kb, dt.datetime(2024, 2, 1), "checkpoint-b")(batch[2], 0)
+    top = kb.agg(fx.F.max("id")).first()[0]
+    assert ids(base + "/stream=*/epoch=*") == list(range(top + 1, top + 16))
+    assert state["index"].n_docs == index.n_docs + 12
+
+
+def test_repeats_are_dropped_by_the_gap_to_the_last_kept(spark):
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    rows = [(1, "Hi", at(0, 59)), (2, "Hi ", at(1, 1)), (3, "Hi", at(1, 59)), (4, "Hi", at(2, 10)), (5, "other", at(1, 0)), (6, "Hi", at(0, 59)), (7, None, at(0, 1))]
+    got = jobs.suppress_repeats(spark.createDataFrame(rows, "query_id long, text string, created_at timestamp")).collect()
+    hi = sorted(r["created_at"] for r in got if (r["text"] or "").strip().lower() == "hi")
+    assert hi == [at(0, 59), at(1, 59)] and len(got) == 4
+
+
+def test_routing_finds_new_rows_and_releases_its_cache(spark, scratch):
+    from helmsman.operators import bm25
+    from helmsman.plans import end_to_end
+    from helmsman.sources import fixtures as fx
+
+    kb, qs = fx.knowledge_base(spark, SF_SMALL), fx.vector_questions(spark, SF_SMALL).limit(5)
+    index = bm25.build_index(kb.select(fx.F.col("id").alias("doc_id"), fx.F.col("content").alias("text")))
+    cache = spark._jsparkSession.sharedState().cacheManager()
+    before = cache.numCachedEntries() if hasattr(cache, "numCachedEntries") else None
+    res = end_to_end.answer(qs, kb, index)
+    res.queries.count()
+    res.release()
+    assert len(res.cached) == 2 and all(not d.is_cached for d in res.cached)
+    assert before is None or cache.numCachedEntries() <= before + 2
+    calls = []
+
+    def current():
+        calls.append(1)
+        return kb, index
+
+    src = os.path.join(scratch, "questions")
+    qs.write.parquet(src)
+    stream = spark.readStream.schema(qs.schema).parquet(src)
+    jobs.start_routing(stream, current, os.path.join(scratch, "out"), os.path.join(scratch, "ck")).awaitTermination()
+    assert calls and spark.read.parquet(os.path.join(scratch, "out", "queries")).count() == 5
