@@ -159,6 +159,9 @@ class Bm25Params:
     # Query-term rows up to this count are broadcast to the postings scan;
     # beyond it the join is a salted shuffle join.
     broadcast_max_rows: int = 2_000_000
+    # Query terms up to this many bytes go to the top-k kernel as numbers;
+    # beyond it scores are joined and aggregated as rows.
+    query_max_bytes: int = 64 << 20
     salt_buckets: int = 16
 
 
