@@ -370,3 +370,80 @@ FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1
 def a25_feedback_summary(spark, sf_dir):
     """Feedback count and satisfaction per type, with the retrain flag (>= 100)."""
     return A.feedback_summary(fx.feedback_log(spark, sf_dir))
+
+
+def _endpoint_log(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    method = F.when(F.col("event_type").isin("view", "click"), "GET").otherwise("POST")
+    return log.withColumns({"method": method, "endpoint": F.concat(F.lit("/"), F.col("event_type"))})
+
+
+@register("a10_http_latency_histogram", sql=f"""
+WITH {LOG_SQL.replace('log AS (', 'log0 AS (', 1)},
+log AS (SELECT *, {_HTTP} AS method, '/' || event_type AS endpoint FROM log0)
+{_hist_sql('latency_ms / 1000.0', DURATION_BUCKETS, 'TRUE', 'method, endpoint')}
+""")
+def a10_http_latency_histogram(spark, sf_dir):
+    """Cumulative HTTP latency buckets by method and endpoint."""
+    return A.cumulative_histogram(_endpoint_log(spark, sf_dir), F.col("latency_ms") / 1000.0, DURATION_BUCKETS, ["method", "endpoint"])
+
+
+@register("a13_http_rates_5m", sql=f"""
+WITH {LOG_SQL},
+x AS (SELECT time_bucket(INTERVAL 1 minute, created_at) - i * INTERVAL 1 minute AS window_start, '/' || event_type AS endpoint
+      FROM log, (SELECT unnest(range(5)) AS i))
+SELECT window_start, window_start + INTERVAL 5 minute AS window_end, endpoint, count(*)::BIGINT AS n,
+       round(count(*) / 300.0, 6) AS rate
+FROM x GROUP BY window_start, endpoint
+""")
+def a13_http_rates_5m(spark, sf_dir):
+    """Per-second request rate of every endpoint over 5-minute windows sliding by 1 minute."""
+    return A.rates(_endpoint_log(spark, sf_dir), "endpoint")
+
+
+@register("a19_error_rate_5m", sql=f"""
+WITH {LOG_SQL}
+SELECT time_bucket(INTERVAL 5 minute, created_at) AS window_start, count(*)::BIGINT AS n,
+       round(sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) / count(*), 6) AS error_rate,
+       sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) / count(*) > 0.1 AS alert_error_rate
+FROM log GROUP BY 1
+""")
+def a19_error_rate_5m(spark, sf_dir):
+    """Error rate and its alert (> 0.1) in every 5-minute window."""
+    share = F.avg(F.when(F.col("status") == "error", 1.0).otherwise(0.0))
+    g = _log(spark, sf_dir).groupBy(F.window("created_at", "5 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"), share.alias("share"))
+    return g.select(F.col("w.start").alias("window_start"), "n", r6("share").alias("error_rate"), (F.col("share") > 0.1).alias("alert_error_rate"))
+
+
+@register("a21_sentiment_scores", sql=f"""
+WITH p AS (SELECT l.toxic = 1 AS truth, p.label = 'negative' AS said
+           FROM labels l JOIN (SELECT doc_id, {SD.SENTIMENT_LABEL} AS label FROM (SELECT doc_id, {SD.polar_counts('text')} FROM documents)) p USING (doc_id))
+SELECT count(*)::BIGINT AS n, round(avg(CASE WHEN truth = said THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+       round(sum(CASE WHEN truth AND said THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN said THEN 1 ELSE 0 END), 0), 6) AS negative_precision,
+       round(sum(CASE WHEN truth AND said THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN truth THEN 1 ELSE 0 END), 0), 6) AS negative_recall
+FROM p
+""")
+def a21_sentiment_scores(spark, sf_dir):
+    """Accuracy of lexicon sentiment against the toxic label, and precision and
+    recall of its negative label (null where nothing is negative)."""
+    pred = fx.table(spark, sf_dir, "documents").select("doc_id", (decision.sentiment("text")["label"] == "negative").alias("said"))
+    j = fx.table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("truth")).join(pred, "doc_id")
+
+    def n(cond):
+        return F.sum(F.when(cond, 1).otherwise(0))
+
+    both = n(F.col("truth") & F.col("said"))
+    return j.agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.when(F.col("truth") == F.col("said"), 1.0).otherwise(0.0))).alias("accuracy"),
+                 r6(both / F.nullif(n(F.col("said")), F.lit(0))).alias("negative_precision"),
+                 r6(both / F.nullif(n(F.col("truth")), F.lit(0))).alias("negative_recall"))
+
+
+@register("a25_feedback_by_value", sql="""
+SELECT CASE WHEN event_type = 'purchase' THEN 'thumbs_up' ELSE 'thumbs_down' END AS feedback_type,
+       CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END AS feedback_value, CAST(ts AS DATE) AS day, count(*)::BIGINT AS n
+FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1, 2, 3
+""")
+def a25_feedback_by_value(spark, sf_dir):
+    """Feedback counts by type, value and day."""
+    fb = fx.feedback_log(spark, sf_dir)
+    return fb.groupBy("feedback_type", "feedback_value", F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))

@@ -177,3 +177,22 @@ def v6_variant_metadata_filter(spark, sf_dir):
     hit = V.variant_contains("meta", {"k": 69})
     return ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"),
                                         F.sum(F.when(hit, 1).otherwise(0)).cast("long").alias("n_matching"))
+
+
+@register("a9_search_counters", sql=f"""
+WITH {S.BM25_INDEX}, {S.USER_QUESTIONS}, {S.VECTOR_QUESTIONS}, {S.KB_VECTORS}, {S.bm25_scores('uq')}, {S.bm25_topk('bm25_sc', '5', 'top')},
+{S.knn_topk('vq', '5', 'nn')},
+r AS (SELECT 'bm25' AS search_type, q.query_id, count(t.doc_id) AS results FROM uq q LEFT JOIN top t ON t.query_id = q.query_id GROUP BY 1, 2
+      UNION ALL SELECT 'semantic', q.query_id, count(n.doc_id) FROM vq q LEFT JOIN nn n ON n.query_id = q.query_id GROUP BY 1, 2)
+SELECT search_type, results::BIGINT AS results, count(*)::BIGINT AS searches FROM r GROUP BY 1, 2
+""")
+def a9_search_counters(spark, sf_dir):
+    """Searches by type, with the histogram of results per query (top 5)."""
+    index, kb = bm25.build_index(_kb_docs(spark, sf_dir)), fx.knowledge_base(spark, sf_dir)
+    uq, vq = fx.user_questions(spark, sf_dir), fx.vector_questions(spark, sf_dir)
+    out = None
+    for kind, asked, hits in (("bm25", uq, bm25.search(index, uq, k=5)), ("semantic", vq, knn.search(kb, vq, 5))):
+        n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        rows = asked.select("query_id").join(n, "query_id", "left").select(F.lit(kind).alias("search_type"), F.coalesce("n", F.lit(0).cast("long")).alias("results"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("search_type", "results").agg(F.count(F.lit(1)).alias("searches"))
