@@ -147,7 +147,7 @@ class LangParams:
     default: str = DEFAULT_LANGUAGE
     min_chars: int = MIN_DETECT_CHARS
     ngram: int = 3
-    profile_size: int = 400  # n-grams kept per language (bounds the broadcast)
+    profile_max_bytes: int = 64 << 20  # a larger profile is joined by a shuffle
 
 
 @dataclass(frozen=True)

@@ -236,12 +236,10 @@ prof_counts AS (
         FROM (SELECT lang, {chars.format(t='text')} AS ch FROM documents WHERE lang IS NOT NULL))
   WHERE g <> '   ' GROUP BY lang, g
 ),
-prof AS (SELECT lang, gram, c FROM prof_counts
-         QUALIFY row_number() OVER (PARTITION BY lang ORDER BY c DESC, gram ASC) <= 400),
-tot AS (SELECT lang, sum(c) AS s FROM prof GROUP BY lang),
-lp AS (SELECT p.gram, p.lang, ln((p.c + 1) / (t.s + 401)) - ln(1.0 / (t.s + 401)) AS delta
-       FROM prof p JOIN tot t USING (lang)),
-un AS (SELECT lang, ln(1.0 / (s + 401)) AS unseen FROM tot),
+tot AS (SELECT lang, sum(c) + count(*) + 1 AS d FROM prof_counts GROUP BY lang),
+lp AS (SELECT p.gram, p.lang, ln((p.c + 1) / t.d) - ln(1.0 / t.d) AS delta
+       FROM prof_counts p JOIN tot t USING (lang)),
+un AS (SELECT lang, ln(1.0 / d) AS unseen FROM tot),
 tgt AS (SELECT {id_expr} AS id, {text_expr} AS text FROM {target} WHERE {where}),
 tg AS (SELECT id, greatest(len(ch) - 2, 0) AS n, short, {grams} AS grams
        FROM (SELECT id, {chars.format(t='text')} AS ch,
