@@ -138,6 +138,9 @@ class PiiParams:
         "John", "Jane", "Mary", "James", "Robert", "Michael", "David", "Sarah",
         "Maria", "Pierre", "Marie", "Juan", "Carlos", "Anna", "Peter", "Thomas",
     )
+    # Further recognisers, after the built-in ones in precedence:
+    # (entity name, Java regex, score, replacement label).
+    recognisers: tuple[tuple[str, str, float, str], ...] = ()
 
 
 @dataclass(frozen=True)
