@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from helmsman.llm import decontaminate, extendible, lm_score, mixing, neardup, quality, toxicity
 from helmsman.llm.labelled import fold, labelled
-from helmsman.llm.shared import documents
+from helmsman.llm.shared import documents, text_buffer
 from tests.conftest import SF_SMALL
 
 DOCS = "doc_id long, text string, source string, lang string, n string, node string, label string, a string, b string, size string"
@@ -264,53 +264,78 @@ def test_labelled_sample_is_bounded(spark):
 
 # --- LM scoring --------------------------------------------------------------
 
-def test_lm_scores_match_brute_force(spark):
+def lm_brute_force(rows, good):
+    """Sorted (id, tokens, in target, target bits, background bits), from the
+    words themselves."""
+    split = [re.findall("[^\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+", re.sub("[A-Z]", lambda x: x[0].lower(), t or "")) for _, t in rows]
+    words, pairs = [Counter(), Counter()], [Counter(), Counter()]
+    for (i, _), w in zip(rows, split):
+        for m in (0, 1):
+            if m == 1 or i in good:
+                words[m].update(w)
+                pairs[m].update(zip(w, w[1:]))
+    want = []
+    for (i, _), w in zip(rows, split):
+        own_words, own_pairs, bits = Counter(w), Counter(zip(w, w[1:])), []
+        for m in (0, 1):
+            less = 1 if m == 1 or i in good else 0
+            total = sum(words[m].values()) - less * len(w)
+            loss = 0.0
+            for k, x in enumerate(w):
+                p = (1 - lm_score.FLOOR) * (words[m][x] - less * own_words[x]) / max(total, 1) + lm_score.FLOOR / len(words[1])
+                v = w[k - 1] if k else None
+                before = words[m][v] - less * own_words[v] if k else 0
+                if before > 0:
+                    p = lm_score.MIX * min(1, (pairs[m][v, x] - less * own_pairs[v, x]) / before) + (1 - lm_score.MIX) * p
+                loss -= math.log2(p)
+            bits.append(loss / max(1, len(w)))
+        want.append((i, len(w), i in good, *[round(b, 9) for b in bits]))
+    return sorted(want, key=str)
+
+
+def lm_scores(flagged, **sizes):
+    got = lm_score.score(flagged, **sizes).collect()
+    return sorted(((r.doc_id, r._lm_tokens, r._lm_target, round(r._lm_target_bits, 9), round(r._lm_background_bits, 9)) for r in got), key=str)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 200, "range_bytes": 64}])  # one block a task, or many blocks and ranges
+def test_lm_scores_match_brute_force(spark, sizes):
     rng = random.Random(12)
     rows = [(i, " ".join(rng.choice(["the", "of", "Cat", "dog,", "é", "runs"]) for _ in range(rng.randrange(25)))) for i in range(40)]
     rows += [(1, "repeated id"), (None, "the cat"), (50, None), (51, "--"), (52, "the " * 3000)]
     marks = [(i, 1) for i in range(0, 40, 3)] + [(1, 0), (4, 0), (4, 1), (None, 1), (6, None)]
     labels = spark.createDataFrame(marks, "doc_id long, quality int")
     flagged = lm_score.flagged(docs(spark, rows).repartition(3), labels)
-    got = lm_score.score(flagged, lm_score.train(flagged)).collect()
     good = {i for i, q in marks if q == 1 and i is not None}
+    assert lm_scores(flagged, **sizes) == lm_brute_force(rows, good)
 
-    def slots(text):
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        _, word, pair = lm_score.tokens(raw, np.array([0, len(raw)]))
-        return word.tolist(), pair.tolist()
-
-    counts = [Counter(), Counter()]
-    for i, t in rows:
-        for s in [x for part in slots(t) for x in part if x >= 0]:
-            counts[1][s] += 1
-            counts[0][s] += i in good
-    limit = 1 << lm_score.WORD_BITS
-    vocabulary = sum(1 for s in counts[1] if s < limit)
-    want = []
-    for i, t in rows:
-        word, pair = slots(t)
-        own, bits = Counter(word + [p for p in pair if p >= 0]), []
-        for m in (0, 1):
-            less = 1 if m == 1 or i in good else 0
-            total = sum(c for s, c in counts[m].items() if s < limit) - less * len(word)
-            loss = 0.0
-            for k, (w, p) in enumerate(zip(word, pair)):
-                p1 = (1 - lm_score.FLOOR) * (counts[m][w] - less * own[w]) / max(total, 1) + lm_score.FLOOR / vocabulary
-                before = counts[m][word[k - 1]] - less * own[word[k - 1]] if p >= 0 else 0
-                if before > 0:
-                    p1 = lm_score.MIX * min(1, (counts[m][p] - less * own[p]) / before) + (1 - lm_score.MIX) * p1
-                loss -= math.log2(p1)
-            bits.append(loss / max(1, len(word)))
-        want.append((i, len(word), i in good, *[round(b, 9) for b in bits]))
-    assert sorted(((r.doc_id, r._lm_tokens, r._lm_target, round(r._lm_target_bits, 9), round(r._lm_background_bits, 9)) for r in got), key=str) == sorted(want, key=str)
+
+def test_lm_scores_of_the_fixture_match_brute_force(spark):
+    source = documents(spark, SF_SMALL).select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF_SMALL}/labels.parquet")
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    assert lm_scores(lm_score.flagged(source, labels)) == lm_brute_force([tuple(r) for r in source.collect()], good)
+
+
+def test_lm_blocks_and_ranges():
+    """Every document in one block, and the entries of the blocks add up."""
+    words = [f"w{i % 7} x{i}" for i in range(300)]
+    keys, target, background = lm_score._counted(*text_buffer(pa.array(words)), np.arange(300) % 2 == 0)
+    assert len(keys) == 7 + 300 + 300 and background.sum() == 900 and target.sum() == 450
+    assert np.array_equal(lm_score.unpack(lm_score.pack(background)), background)
+    for bits in (0, 3, 12):
+        of, first = lm_score._ranges(keys, bits)
+        assert (np.diff(of) > 0).all() and first[0] == 0 and of[-1] < 1 << bits
 
 
 def test_lm_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     flagged = lm_score.flagged(docs(spark, []), labels)
-    assert lm_score.score(flagged, lm_score.train(flagged)).collect() == []
+    assert lm_score.score(flagged).collect() == []
     flagged = lm_score.flagged(docs(spark, EDGE), labels)
-    assert all(r._lm_target_bits >= 0 for r in lm_score.score(flagged, lm_score.train(flagged)).collect())
+    assert all(r._lm_target_bits >= 0 for r in lm_score.score(flagged).collect())
+    extra = lm_score.flagged(docs(spark, EDGE).withColumns({"score": F.lit("s"), "block": F.lit(None).cast("int"), "words": F.array(F.lit(1))}), labels)
+    assert {(r.score, r.block, tuple(r.words)) for r in lm_score.score(extra).collect()} == {("s", None, (1,))}
 
 
 # --- pipeline ----------------------------------------------------------------
