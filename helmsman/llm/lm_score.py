@@ -14,7 +14,9 @@ Counts are exact and grow with the corpus; no model is held in one place.
 
 1. Documents are dealt into blocks of about ``BLOCK_BYTES`` of text.  A block
    counts its distinct n-grams once and sends them, packed by ranges of their
-   64-bit hash, so a word of every document is one entry per block.
+   hash, so a word of every document is one entry per block.  The hash has 20
+   bits more than the corpus has bytes, 64 at most: an n-gram shares it with
+   another one with a chance below 1e-6.
 2. The task that owns a range (about ``RANGE_BYTES`` of the corpus) sums the
    entries of all blocks and answers each block with the totals of its entries.
 3. Each block meets its answers and scores its documents.
@@ -44,22 +46,22 @@ from helmsman.session import sf_path
 from .registry import register
 from .shared import ALNUM, SLICE_BYTES, U64, chain, column_bytes, documents, slices, small_side, span_hashes, split_words, text_buffer, written
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 8 << 20
 MIX, FLOOR = 0.5, 0.01
 
 
-def tokens(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, word, pair, paired) per token: hashes of the word (odd) and of the
-    pair that ends here (even), and whether there is such a pair."""
+def tokens(raw: np.ndarray, off: np.ndarray, width: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word, pair, paired) per token: hashes of ``width`` bits of the word
+    (odd) and of the pair that ends here (even), and whether there is one."""
     buf, starts, ends, bounds = split_words(raw, off, ALNUM)
     words = span_hashes(buf, starts, ends)
     row = np.repeat(np.arange(len(off) - 1), np.diff(bounds))
     pair, paired = np.zeros(len(words), U64), np.zeros(len(words), bool)
     if len(words) > 1:
-        pair[1:] = chain(words[:-1], words[1:]) & ~U64(1)
+        pair[1:] = chain(words[:-1], words[1:]) >> U64(64 - width) & ~U64(1)
         paired[1:] = row[1:] == row[:-1]
-    return row, words | U64(1), pair, paired
+    return row, words >> U64(64 - width) | U64(1), pair, paired
 
 
 # --- counting ----------------------------------------------------------------
@@ -71,46 +73,47 @@ def _summed(keys: np.ndarray, target: np.ndarray, background: np.ndarray):
     return keys, sums[0], sums[1], at
 
 
-def _counted(raw: np.ndarray, off: np.ndarray, inside: np.ndarray):
-    row, word, pair, paired = tokens(raw, off)
+def _counted(raw: np.ndarray, off: np.ndarray, inside: np.ndarray, width: int = 64):
+    row, word, pair, paired = tokens(raw, off, width)
     target = inside[row]
     keys, target = np.concatenate([word, pair[paired]]), np.concatenate([target, target[paired]])
     return _summed(keys, target, np.ones(len(keys)))[:3]
 
 
-def pack(numbers: np.ndarray) -> bytes:
-    """64-bit numbers as byte planes, which compress well when they are small."""
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes()
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers as compressed byte planes."""
+    planes = np.concatenate([c.view(np.uint8).reshape(-1, 8).T for c in columns])
+    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(planes), asbytes=True)
 
 
-def unpack(raw, kind=np.int64) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(kind).ravel()
+def unpack(raw: bytes, n: int, columns: int, kind=np.int64) -> list[np.ndarray]:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(raw, decompressed_size=8 * n * columns), np.uint8).reshape(columns, 8, n)
+    return [np.ascontiguousarray(p.T).view(kind).ravel() for p in planes]
 
 
-_REQUEST = [("_lm_block", pa.int64()), ("_lm_range", pa.int64()), ("_lm_keys", pa.binary()), ("_lm_counts", pa.binary())]
-_REQUEST_SQL = [T.StructField("_lm_block", T.LongType()), T.StructField("_lm_range", T.LongType()),
-                T.StructField("_lm_keys", T.BinaryType()), T.StructField("_lm_counts", T.BinaryType())]
+_REQUEST = pa.schema([("_lm_block", pa.int64()), ("_lm_range", pa.int64()), ("_lm_n", pa.int64()), ("_lm_keys", pa.binary()), ("_lm_counts", pa.binary())])
+_REQUEST_SQL = [T.StructField(n, T.BinaryType() if n in ("_lm_keys", "_lm_counts") else T.LongType()) for n in _REQUEST.names]
 
 
-def _ranges(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _ranges(keys: np.ndarray, bits: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """(range, first index) of the ranges that the sorted ``keys`` fall in."""
-    of = (keys >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    of = (keys >> U64(width - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     return np.unique(of, return_index=True)
 
 
-def _block_task(bits: int, limit: int):
+def _block_task(bits: int, width: int, limit: int):
     """The documents with their block, and after each block its packed entries."""
 
     def requests(block, parts, schema):
         keys, target, background, _ = _summed(*(np.concatenate(x) for x in zip(*parts)))
-        of, first = _ranges(keys, bits)
+        of, first = _ranges(keys, bits, width)
         spans = list(zip(first.tolist(), [*first[1:].tolist(), len(keys)]))
         for at in range(0, len(spans), 1024):
             some = spans[at: at + 1024]
-            made = [pa.array([block] * len(some), pa.int64()), pa.array(of[at: at + 1024]),
+            made = [pa.array([block] * len(some), pa.int64()), pa.array(of[at: at + 1024]), pa.array([b - a for a, b in some], pa.int64()),
                     pa.array([pack(np.diff(keys[a:b], prepend=U64(0))) for a, b in some], pa.binary()),
-                    pa.array([pack(target[a:b]) + pack(background[a:b]) for a, b in some], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), f.type) for f in schema), *made], names=[*schema.names, *(n for n, _ in _REQUEST)])
+                    pa.array([pack(target[a:b], background[a:b]) for a, b in some], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), f.type) for f in schema), *made], names=[*schema.names, *_REQUEST.names])
 
     def run(batches):
         from pyspark import TaskContext
@@ -123,9 +126,9 @@ def _block_task(bits: int, limit: int):
                 yield from requests(block, parts, schema)
                 block, size, parts = block + 1, 0, []
             size += len(raw)
-            parts.append(_counted(raw, off, np.array(batch.column(schema.names.index("_lm_target")).to_pylist(), bool)))
-            own = [pa.array([block] * n, pa.int64()), *(pa.nulls(n, t) for _, t in _REQUEST[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*schema.names, *(n for n, _ in _REQUEST)])
+            parts.append(_counted(raw, off, np.array(batch.column(schema.names.index("_lm_target")).to_pylist(), bool), width))
+            own = [pa.array([block] * n, pa.int64()), *(pa.nulls(n, f.type) for f in list(_REQUEST)[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*schema.names, *_REQUEST.names])
         if parts:
             yield from requests(block, parts, schema)
 
@@ -134,21 +137,21 @@ def _block_task(bits: int, limit: int):
 
 # --- totals ------------------------------------------------------------------
 
-_ANSWER = pa.schema([("_lm_block", pa.int64()), ("_lm_range", pa.int64()), ("_lm_totals", pa.binary()),
+_ANSWER = pa.schema([("_lm_block", pa.int64()), ("_lm_range", pa.int64()), ("_lm_n", pa.int64()), ("_lm_totals", pa.binary()),
                      ("words", pa.int64()), ("target", pa.int64()), ("background", pa.int64())])
-_ANSWER_SQL = "_lm_block long, _lm_range long, _lm_totals binary, words long, target long, background long"
+_ANSWER_SQL = "_lm_block long, _lm_range long, _lm_n long, _lm_totals binary, words long, target long, background long"
 
 
 def _answers(of: int, rows: list) -> pa.RecordBatch:
-    """Totals for every row (block, keys, counts) of one range, and one row of
+    """Totals for every row (block, n, keys, counts) of one range, and one row of
     its distinct words and its tokens in either model."""
-    keys = [np.cumsum(unpack(k, U64), dtype=U64) for _, k, _ in rows]
-    counts = [unpack(c[: len(c) // 2]) for _, _, c in rows], [unpack(c[len(c) // 2:]) for _, _, c in rows]
-    distinct, target, background, at = _summed(np.concatenate(keys), *map(np.concatenate, counts))
+    keys = np.concatenate([np.cumsum(unpack(k, n, 1, U64)[0], dtype=U64) for _, n, k, _ in rows])
+    target, background = (np.concatenate(c) for c in zip(*(unpack(c, n, 2) for _, n, _, c in rows)))
+    distinct, target, background, at = _summed(keys, target, background)
     word = (distinct & U64(1)).astype(bool)
-    parts = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
-    made = [(block, of, pack(target[p]) + pack(background[p]), None, None, None) for (block, _, _), p in zip(rows, parts)]
-    made.append((None, of, None, int(word.sum()), int(target[word].sum()), int(background[word].sum())))
+    parts = np.split(at, np.cumsum([n for _, n, _, _ in rows])[:-1])
+    made = [(block, of, n, pack(target[p], background[p]), None, None, None) for (block, n, _, _), p in zip(rows, parts)]
+    made.append((None, of, None, None, int(word.sum()), int(target[word].sum()), int(background[word].sum())))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), _ANSWER)], schema=_ANSWER)
 
 
@@ -156,12 +159,13 @@ def _range_task(batches):
     """Rows sorted by range -> answers; one range in memory at a time."""
     of, rows = None, []
     for batch in batches:
-        for block, this, keys, counts in zip(*(batch.column(n).to_pylist() for n, _ in _REQUEST)):
+        for row in zip(*batch.columns):
+            block, this, n, keys, counts = (x.as_py() for x in row)
             if this != of:
                 if rows:
                     yield _answers(of, rows)
                 of, rows = this, []
-            rows.append((block, keys, counts))
+            rows.append((block, n, keys, counts))
     if rows:
         yield _answers(of, rows)
 
@@ -193,14 +197,14 @@ def losses(row, word, pair, paired, inside, totals, sums, vocabulary) -> np.ndar
     return out
 
 
-def _score_task(names: list[str], sums: tuple[int, int], vocabulary: int):
+def _score_task(names: list[str], width: int, sums: tuple[int, int], vocabulary: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         sliced = list(slices(docs.to_batches(), "text"))
-        found = [tokens(*text_buffer(batch.column(batch.schema.names.index("text")))) for batch in sliced]
+        found = [tokens(*text_buffer(batch.column(batch.schema.names.index("text"))), width) for batch in sliced]
         keys = np.unique(np.concatenate([np.zeros(0, U64), *(x for _, word, pair, paired in found for x in (word, pair[paired]))]))
         answers = answers.sort_by("_lm_range")
-        halves = [(t[: len(t) // 2], t[len(t) // 2:]) for t in answers.column("_lm_totals").to_pylist()]
-        totals = np.array([np.concatenate([np.zeros(0, np.int64), *(unpack(h[m]) for h in halves)]) for m in (0, 1)])
+        parts = [unpack(t.as_py(), n.as_py(), 2) for n, t in zip(answers["_lm_n"], answers["_lm_totals"])]
+        totals = np.array([np.concatenate([np.zeros(0, np.int64), *(p[m] for p in parts)]) for m in (0, 1)])
         if totals.shape[1] != len(keys):
             raise RuntimeError(f"a block has {len(keys)} n-grams but {totals.shape[1]} totals")
         out = []
@@ -228,16 +232,17 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_bytes: int = RA
     """``docs`` (with _lm_target) with _lm_tokens, _lm_target_bits and
     _lm_background_bits (per token)."""
     fields = [T.StructField(f.name, f.dataType) for f in docs.schema.fields]
-    bits = max(0, math.ceil(math.log2(max(1, column_bytes(docs, "text")) / range_bytes)))
-    dealt = written(docs.mapInArrow(_block_task(bits, block_bytes), T.StructType([*fields, *_REQUEST_SQL])), "lm")
+    size = max(1, column_bytes(docs, "text"))
+    bits, width = max(0, math.ceil(math.log2(size / range_bytes))), min(64, math.ceil(math.log2(size)) + 20)
+    dealt = written(docs.mapInArrow(_block_task(bits, width, block_bytes), T.StructType([*fields, *_REQUEST_SQL])), "lm", "zstd")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = dealt.where("_lm_range is not null").select(*(n for n, _ in _REQUEST)).repartition(parts, "_lm_range").sortWithinPartitions("_lm_range")
+    entries = dealt.where("_lm_range is not null").select(*_REQUEST.names).repartition(parts, "_lm_range").sortWithinPartitions("_lm_range")
     answers = written(entries.mapInArrow(_range_task, _ANSWER_SQL), "lm")
     vocabulary, *sums = (x or 0 for x in answers.where("_lm_block is null").agg(F.sum("words"), F.sum("target"), F.sum("background")).first())
     rows = dealt.where("_lm_range is null").select(*[F.col(f"`{c}`") for c in docs.columns], "_lm_block")
-    totals = answers.where("_lm_block is not null").select("_lm_block", "_lm_range", "_lm_totals")
+    totals = answers.where("_lm_block is not null").select("_lm_block", "_lm_range", "_lm_n", "_lm_totals")
     more = [T.StructField("_lm_tokens", T.LongType()), T.StructField("_lm_target_bits", T.DoubleType()), T.StructField("_lm_background_bits", T.DoubleType())]
-    task = _score_task(docs.columns, tuple(sums), vocabulary)
+    task = _score_task(docs.columns, width, tuple(sums), vocabulary)
     return rows.groupBy("_lm_block").cogroup(totals.groupBy("_lm_block")).applyInArrow(task, T.StructType([*rows.schema.fields[:-1], *more]))
 
 
