@@ -9,8 +9,8 @@ many cursors over its slice of text at once (numpy), each jumping by the shift
 of the block under it.
 
 The benchmark is the stated pattern set: it goes out in blocks of at most
-``BLOCK_BYTES`` bytes, each block one narrow pass over the documents (all passes
-pipeline in one stage, without a shuffle), so its size is bounded per pass.
+``BLOCK_BYTES`` bytes, each block one narrow pass over the documents without a
+shuffle.  Passes are cut by written tables, so a task holds one block at a time.
 
 Defined results: null or wordless texts have no words and no hits; null or
 wordless items give no pattern; rows of one item_id are one item, a null
@@ -33,10 +33,10 @@ from pyspark.sql import types as T
 from helmsman.session import sf_path
 
 from .registry import register
-from .shared import ALNUM, U64, documents, slices, text_buffer
+from .shared import ALNUM, U64, documents, slices, text_buffer, written
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 _TABLE_BITS = 20
 _MULTIPLIER = U64(0x9E3779B97F4A7C15)
 
@@ -213,7 +213,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Dat
         "_wm_items": F.array().cast("array<string>"),
     })
     schema = T.StructType([*docs.schema.fields, *_RESULT])
-    for block in blocks(benchmark, limit):
+    for i, block in enumerate(blocks(benchmark, limit)):
+        out = written(out, "decontaminate") if i else out
         out = out.mapInArrow(_pass(sc.broadcast(block), uuid.uuid4().hex), schema)
     return out
 

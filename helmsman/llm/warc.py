@@ -220,8 +220,8 @@ def reassemble(records: DataFrame) -> DataFrame:
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 o AS (SELECT *, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, max(page_id) OVER (PARTITION BY html) AS owner FROM p)
 SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
-       CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id <> owner THEN owner END AS refers_to, true AS complete
+       CASE WHEN payload_bytes >= {REVISIT_BYTES} AND owner IS NOT NULL AND page_id IS DISTINCT FROM owner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id IS DISTINCT FROM owner THEN owner END AS refers_to, true AS complete
 FROM o
 """)
 def op1(spark, sf_dir):
