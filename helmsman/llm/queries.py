@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversation_repair, decontaminate, extendible, lm_score, mixing, neardup, patricia, prefix_trie, quality, secret_scan, toxicity, warc  # noqa: F401
+from . import conversation_repair, decontaminate, extendible, language_id, lm_score, mixing, neardup, patricia, prefix_trie, quality, secret_scan, toxicity, warc  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
