@@ -53,6 +53,7 @@ SAMPLE_BYTES, LANGUAGE_BYTES = 8 << 20, 768 << 10
 WINDOW = 1 << 19
 REJECT = 0.999
 CALIBRATION = 10  # one of so many sampled rows calibrates
+MEMO = 1 << 19  # n-grams whose bits a task keeps
 ALPHABET = 1 << 17  # about the letters of Unicode
 SPACE = 32
 
@@ -182,8 +183,38 @@ def log2_probability(model: dict[str, np.ndarray], found: list[np.ndarray], hist
     return np.log2(p)
 
 
-def entropies(raw: np.ndarray, off: np.ndarray, models: list[dict], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+class Memo:
+    """Bits of the n-grams that a task has met, sorted by hash; it starts again
+    when it is full."""
+
+    def __init__(self, models: list[dict], limit: int = MEMO):
+        self.models, self.limit = models, limit
+        self.keys, self.bits = np.zeros(0, U64), np.zeros((0, len(models)), np.float32)
+
+    def of(self, keys: np.ndarray, found, histories) -> np.ndarray:
+        """n-grams x models bits of the sorted distinct ``keys``; ``found(at, n)``
+        and ``histories(at, n)`` give the hashes of n symbols for some of them."""
+        here = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = self.keys[here] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        out = np.empty((len(keys), len(self.models)), np.float32)
+        out[known] = self.bits[here[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            a, b = [found(new, n) for n in range(1, ORDER + 1)], [histories(new, n) for n in range(1, ORDER)]
+            for m, model in enumerate(self.models):
+                out[new, m] = -log2_probability(model, a, b)
+            if len(self.keys) + len(new) > self.limit:
+                self.keys, self.bits = keys, out
+            else:
+                merged = np.concatenate([self.keys, keys[new]])
+                order = np.argsort(merged, kind="stable")
+                self.keys, self.bits = merged[order], np.concatenate([self.bits, out[new]])[order]
+        return out
+
+
+def entropies(raw: np.ndarray, off: np.ndarray, memo: Memo, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(rows x models mean bits per symbol, symbols of each row)."""
+    models = memo.models
     code, row, scored = symbols(raw, off)
     total, count = np.zeros((len(off) - 1, len(models))), np.bincount(row[scored], minlength=len(off) - 1)
     for low in range(ORDER - 1, len(code), window):
@@ -193,14 +224,13 @@ def entropies(raw: np.ndarray, off: np.ndarray, models: list[dict], window: int
         if not len(take):
             continue
         take += ORDER - 1
-        _, first, back = np.unique(grams(here, take, ORDER), return_index=True, return_inverse=True)
+        keys, first, back = np.unique(grams(here, take, ORDER), return_index=True, return_inverse=True)
         at = take[first]
-        found, histories = [grams(here, at, n + 1) for n in range(ORDER)], [grams(here, at - 1, n + 1) for n in range(ORDER - 1)]
+        bits = memo.of(keys, lambda some, n: grams(here, at[some], n), lambda some, n: grams(here, at[some] - 1, n))  # noqa: B023
         rows = row[low - ORDER + 1: high][take]
         base = rows[0]
-        for m, model in enumerate(models):
-            bits = -log2_probability(model, found, histories)
-            sums = np.bincount(rows - base, bits[back])
+        for m in range(len(models)):
+            sums = np.bincount(rows - base, bits[back, m])
             total[base: base + len(sums), m] += sums
     return total / np.maximum(count, 1)[:, None], count
 
@@ -211,14 +241,18 @@ def sample(docs: DataFrame, use: Column) -> DataFrame:
     """(lang, rank, text) of the rows that are learnt from."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     docs = docs.where(use & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= MAX_TEXT) & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy("h", "size")
     narrow = docs.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.octet_length("text").alias("size"))
-    ranked = narrow.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MAX_ROWS)
-    ranked = ranked.withColumn("before", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    texts = written(narrow.groupBy("lang", "h", "size").agg(F.count(F.lit(1)).alias("times")), "languages")
+    # About 2 MAX_ROWS texts of a language pass by their hash, whatever its share; only those are ranked.
+    counts = written(texts.groupBy("lang").agg(F.count(F.lit(1)).alias("all")), "languages")
+    few = texts.join(small_side(counts), "lang").where((F.col("h") / F.lit(2.0 ** 64) + 0.5) * F.col("all") < 2 * MAX_ROWS)
+    order = Window.partitionBy("lang").orderBy("h", "size")
+    ranked = few.withColumn("rank", F.sum("times").over(order)).where(F.col("rank") - F.col("times") < MAX_ROWS)
+    ranked = ranked.withColumn("before", F.sum(F.col("size") * F.col("times")).over(order) - F.col("size") * F.col("times"))
     ranked = written(ranked, "languages")
-    languages = max(1, ranked.select("lang").distinct().count())
+    languages = max(1, counts.count())
     budget = min(LANGUAGE_BYTES, SAMPLE_BYTES // languages)
-    chosen = written(ranked.where(F.col("before") < budget).groupBy("lang", "h").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("times")), "languages")
+    chosen = written(ranked.where(F.col("before") < budget).select("lang", "h", "rank", F.least("times", F.lit(MAX_ROWS)).alias("times")), "languages")
     texts = docs.withColumn("h", F.xxhash64("doc_id", "text")).join(small_side(chosen), ["lang", "h"])
     once = texts.groupBy("lang", "h").agg(F.first("rank").alias("rank"), F.first("times").alias("times"), F.first("text").alias("text"))
     return written(once.select("lang", "rank", F.explode(F.array_repeat("text", F.col("times").cast("int"))).alias("text")), "languages")
@@ -279,10 +313,10 @@ def identify(docs: DataFrame, learnt: dict) -> DataFrame:
 
     def run(batches):
         known = shared.value
-        names = known["languages"]
+        names, memo = known["languages"], Memo(known["models"])
         for batch in slices(batches, "text"):
             n = batch.num_rows
-            bits, count = entropies(*text_buffer(batch.column(batch.schema.names.index("text"))), known["models"])
+            bits, count = entropies(*text_buffer(batch.column(batch.schema.names.index("text"))), memo)
             usable = (count > 0) & bool(names)
             if names:
                 best = bits.argmin(1)  # the least name among equals, as names are sorted

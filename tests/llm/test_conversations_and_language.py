@@ -245,7 +245,7 @@ def test_models_equal_dictionaries():
     model, plain = language_id.fit(*language_id.symbols(raw, off)[::2]), _PlainModel(texts)
     asked = ["the cat", "The zebra hat", "", None, "123", "ñ", "q" * 50, *texts[:5], "中文 the"]
     for window in (7, 1 << 19):
-        bits, count = language_id.entropies(*text_buffer(pa.array(asked)), [model, model], window)
+        bits, count = language_id.entropies(*text_buffer(pa.array(asked)), language_id.Memo([model, model], window), window)
         for i, t in enumerate(asked):
             want = plain.bits(t or "")
             assert count[i] == len(want)
@@ -307,4 +307,4 @@ def test_the_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(language_id, "MAX_ROWS", 10)
     rows = spark.createDataFrame([(7, "one same row", "en")] * 5000 + [(i, f"row {'abcdefghij'[i % 10]} {i}", "de") for i in range(500)], "doc_id long, text string, lang string")
     got = Counter(r.lang for r in language_id.sample(rows, fold("doc_id", 3) >= 0).collect())
-    assert got == {"en": 10, "de": 10}
+    assert got == {"en": 10, "de": 10}  # one text 5,000 times counts as at most MAX_ROWS of it
