@@ -33,7 +33,8 @@ BITS = 18  # slots of each of the two tables
 DIMENSIONS = 16
 NGRAMS = (3, 4, 5)
 EPOCHS, RATE = 5, 0.5
-MAX_LABELLED = 8_000
+MAX_LABELLED, MAX_BYTES = 8_000, 8 << 20  # rows that are learnt from, and bytes of their texts
+SLICE = 1 << 18  # text bytes whose features a task holds at once
 THRESHOLD = 0.3
 END, REPEAT = 0, 1  # slots 0 and 1 of the word table are reserved
 
@@ -105,7 +106,7 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 
 
 def _emit(batches):
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         parts = features(_texts(batch))
         row, slot = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(row, kind="stable")
@@ -144,7 +145,7 @@ def _fit_task(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, use, limit: int = MAX_LABELLED) -> np.ndarray:
-    made = labelled(docs, labels, label, use, limit).mapInArrow(_emit, "doc_id long, label int, slots array<int>, counts array<int>")
+    made = labelled(docs, labels, label, use, limit, MAX_BYTES).mapInArrow(_emit, "doc_id long, label int, slots array<int>, counts array<int>")
     return np.frombuffer(made.repartition(1).mapInArrow(_fit_task, "model binary").first()["model"], np.float32)
 
 
@@ -154,7 +155,7 @@ def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
 
     def run(batches):
         table = shared.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             total, count = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for row, slot in features(_texts(batch)):
                 total += np.bincount(row, table[slot], minlength=batch.num_rows)

@@ -15,6 +15,17 @@ from helmsman.session import checkpoint_root, sf_path
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20  # text bytes a task holds in numpy arrays at once (a longer text is a slice of its own)
+BATCH_BYTES = 4 << 20  # bytes of an Arrow batch between Spark and a Python worker (a larger row is a batch of its own)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session's tasks in bytes, unless the session
+    sets a bound itself; otherwise 10,000 long texts could make one batch."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -25,12 +36,14 @@ def run_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut in
     the lineage that survives the loss of any executor."""
+    bounded_batches(df.sparkSession)
     path = run_folder(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(sf_path(sf_dir, "documents"))
 
 

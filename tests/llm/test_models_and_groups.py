@@ -16,7 +16,7 @@ import corpus_pipeline
 from helmsman.llm import decontaminate, extendible, lm_score, mixing, neardup, quality, toxicity
 from helmsman.llm.labelled import fold, labelled
 from helmsman.llm.shared import documents, text_buffer
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_MID, SF_SMALL
 
 DOCS = "doc_id long, text string, source string, lang string, n string, node string, label string, a string, b string, size string"
 
@@ -58,6 +58,37 @@ def _brute_groups(rows, width, percent=80):
     return sorted(out, key=str)
 
 
+def test_all_documents_equal_all_pairs(spark):
+    for sf, width in ((SF_MID, 2),):
+        rows = [(r.doc_id, r.text) for r in documents(spark, sf).collect()]
+        got = neardup.near_duplicates(documents(spark, sf), shingle=width).select("doc_id", "n_shingles", "component_id", "kept").collect()
+        assert sorted((tuple(r) for r in got), key=str) == _brute_groups(rows, width)
+
+
+def test_a_node_of_many_pairs_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SPREAD", 3)
+    monkeypatch.setattr(neardup, "TILE_SHINGLES", 200)
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(w for w in words if rnd.random() > 0.03)) for i in range(120)] + [(200 + i, f"other {i} text") for i in range(5)]
+    got = neardup.near_duplicates(docs(spark, rows), shingle=1).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted((tuple(r) for r in got), key=str) == _brute_groups(rows, 1)
+
+
+def test_the_labelled_sample_is_bounded_after_the_join(spark):
+    texts = spark.createDataFrame([(7, "same")] * 50_000 + [(i, f"text {i}") for i in range(100, 400)] + [(500, "x" * 100_000), (None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (7, 1), (500, 0), (None, 1), *((i, i % 2) for i in range(100, 400))], "doc_id long, quality int")
+    got = labelled(texts, labels, "quality", F.lit(True), limit=10).collect()
+    assert len(got) == 10
+    got = labelled(texts, labels, "quality", F.lit(True), limit=1000).collect()
+    assert len(got) == 1000 and {r.label for r in got if r.doc_id == 7} <= {1}
+    got = labelled(texts, labels, "quality", F.lit(True), limit=100_000, max_bytes=50).collect()
+    assert 0 < sum(len(r.text) for r in got[:-1]) and sum(len(r.text) for r in got) < 50 + 100_000
+    two = labelled(texts, spark.createDataFrame([(100, 0), (100, 1)], "doc_id long, quality int"), "quality", F.lit(True)).collect()
+    assert sorted(r.label for r in two) == [0, 1]
+
+
+
 def _families(seed, width, big):
     rng = random.Random(seed)
     vocabulary = ["of", "the", "and", "in"] * 6 + [f"w{i}" for i in range(400)]
