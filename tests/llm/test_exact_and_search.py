@@ -211,6 +211,36 @@ def test_warc_empty_table_and_broken_framing(spark, scratch):
     assert warc.parse(b"Content-Length: 9\r\n\r\nabc") is None
 
 
+def _archive(folder, name, raws):
+    import gzip
+    import os
+
+    os.makedirs(folder, exist_ok=True)
+    with gzip.open(f"{folder}/{name}", "wb") as f:
+        f.write(b"".join(r + b"\r\n" for r in raws))
+
+
+def test_warc_damage_loses_no_other_record(spark, scratch):
+    body = b"HTTP/1.1 200 OK\r\n\r\n"
+    whole = [warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{i}>"), ("X-Page-Id", str(i))], body + b"x%d" % i) for i in range(200)]
+    longer = list(whole)
+    for i, wrong in ((5, 10**6), (60, 40), (90, 0), (199, 10**9)):  # too long, too long by one record, too short, the last
+        longer[i] = whole[i].replace(b"Content-Length: %d" % (len(body) + len(b"x%d" % i)), b"Content-Length: %d" % wrong)
+    longer[120] = whole[120].replace(b"Content-Length", b"Content-Size")
+    nested = body + b"a" + b"\r\n".join(whole[:3]) + b"b"
+    longer.append(warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<300>"), ("X-Page-Id", "300")], nested))
+    _archive(f"{scratch}/w/a", "one.gz", longer)
+    _archive(f"{scratch}/w/b", "one.gz", [w.replace(b"X-Page-Id: ", b"X-Page-Id: 1000") for w in whole[:3]])
+    _archive(f"{scratch}/w/c", "cut.gz", [whole[7].replace(b"X-Page-Id: 7", b"X-Page-Id: 7007"), whole[8].replace(b"X-Page-Id: 8", b"X-Page-Id: 7008")[:-9]])
+    records = warc.read(spark.newSession(), f"{scratch}/w/*")
+    got = {r.page_id: (r.complete, bytes(r.payload)) for r in warc.reassemble(records).collect()}
+    wrong = {5, 60, 90, 199, 120, 7008}
+    assert set(got) == {*range(200), 300, 10000, 10001, 10002, 7007, 7008}
+    assert {i for i, (complete, _) in got.items() if not complete} == wrong
+    assert got[300][1] == nested[len(body):] and all(got[i][1] == b"x%d" % i for i in range(200) if i not in wrong)
+    assert records.where("damaged").count() == len(wrong)
+
+
 def test_text_buffer_of_sliced_arrays():
     import pyarrow as pa
 

@@ -252,6 +252,80 @@ def test_models_without_labels_or_documents(spark):
     assert quality.score(docs(spark, []), table).collect() == [] and toxicity.score(docs(spark, []), model).collect() == []
 
 
+def _few_texts(seed, n=30):
+    rng = random.Random(seed)
+    return [(i, i % 2, " ".join(rng.choice("aa bb cc dd ee ff gg hh".split()) for _ in range(rng.randrange(0, 25))) + (" bad word" if i % 2 else "")) for i in range(n)]
+
+
+def test_ftrl_equals_a_plain_loop(monkeypatch):
+    monkeypatch.setattr(toxicity, "L1", 0.5)
+    bits, examples = 12, []
+    for i, y, t in _few_texts(1):
+        examples.append((i, y, np.unique(toxicity.features(*text_buffer(pa.array([t])), bits)[1])))
+    slots, weights, bias = toxicity.fit(examples, bits)
+    z, n, rng = defaultdict(float), defaultdict(float), np.random.default_rng(7)
+
+    def weight(c):
+        l1 = 0.0 if c == "bias" else toxicity.L1
+        if abs(z[c]) <= l1:
+            return 0.0
+        return -(z[c] - math.copysign(l1, z[c])) / ((toxicity.BETA + math.sqrt(n[c])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for at in rng.permutation(len(examples)):
+            _, y, found = examples[at]
+            active = [*found.tolist(), "bias"]
+            w = {c: weight(c) for c in active}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - y
+            for c in active:
+                z[c] += g - (math.sqrt(n[c] + g * g) - math.sqrt(n[c])) / toxicity.ALPHA * w[c]
+                n[c] += g * g
+    want = {c: weight(c) for c in z if c != "bias" and weight(c)}
+    assert set(slots.tolist()) == set(want) and len(want) > 5
+    assert all(abs(want[c] - w) < 1e-9 for c, w in zip(slots.tolist(), weights.tolist())) and abs(weight("bias") - bias) < 1e-9
+
+
+def test_toxicity_scores_equal_naive_feature_lists(spark):
+    rows = [(i, t) for i, _, t in _few_texts(2)] + [(900, None), (901, ""), (902, "Bad, WORD! bad word")]
+    slots = [toxicity.features(*text_buffer(pa.array([t], pa.string())))[1] for _, t in rows]
+    every = np.unique(np.concatenate(slots))
+    model = (every[::2].astype(np.int32), np.linspace(-1, 1, len(every[::2])), 0.25)
+    weight = dict(zip(model[0].tolist(), model[1].tolist()))
+    got = {r.doc_id: r._toxicity for r in toxicity.score(docs(spark, rows), model).collect()}
+    for (i, _), s in zip(rows, slots):
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-0.25 - sum(weight.get(x, 0.0) for x in set(s.tolist())))))
+
+
+def test_softmax_descent_equals_a_plain_loop(monkeypatch):
+    monkeypatch.setattr(quality, "EPOCHS", 3)
+    examples = []
+    for i, y, t in _few_texts(3, 20):
+        found, count = np.unique(np.concatenate([s for _, s in quality.features([t])]), return_counts=True)
+        examples.append((i, y, found.astype(np.int32), count.astype(np.int32)))
+    table, d = quality.fit(examples), quality.DIMENSIONS
+    rng = np.random.default_rng(11)
+    start = (rng.random((2 << quality.BITS, d), np.float32) - 0.5) * (2 / d)
+    touched = sorted({int(s) for e in examples for s in e[2]})
+    v, out = {s: [float(x) for x in start[s]] for s in touched}, [[0.0] * d, [0.0] * d]
+    done, steps = 0, quality.EPOCHS * len(examples)
+    for _ in range(quality.EPOCHS):
+        for at in rng.permutation(len(examples)):
+            _, y, found, count = examples[at]
+            share = {int(s): c / count.sum() for s, c in zip(found, count)}
+            hidden = [sum(share[s] * v[s][j] for s in share) for j in range(d)]
+            logits = [sum(a * b for a, b in zip(o, hidden)) for o in out]
+            e = [math.exp(x - max(logits)) for x in logits]
+            g = [(x / sum(e) - (k == y)) * quality.RATE * (1 - done / steps) for k, x in enumerate(e)]
+            back = [g[0] * out[0][j] + g[1] * out[1][j] for j in range(d)]
+            for k in (0, 1):
+                out[k] = [o - g[k] * h for o, h in zip(out[k], hidden)]
+            for s in share:
+                v[s] = [x - min(share[s] * len(share), 1.0) * b for x, b in zip(v[s], back)]
+            done += 1
+    for s in touched:
+        assert table[s] == pytest.approx(sum(x * (b - a) for x, a, b in zip(v[s], out[0], out[1])), abs=2e-4)
+
+
 def test_quality_held_out_on_fixture(spark):
     sf = "/root/testdata/sf0.01"
     from helmsman.llm.queries import QUERIES
