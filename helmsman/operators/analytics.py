@@ -80,8 +80,11 @@ def bucket_quantile(hist: DataFrame, q: float, bounds, group_cols: list[str] | N
 
 def rates(df: DataFrame, label: str, window: str = "5 minutes", slide: str = "1 minute", ts: str = "created_at",
           seconds: int = 300) -> DataFrame:
-    """Per-second rate per label over sliding windows."""
-    g = df.groupBy(F.window(ts, window, slide).alias("w"), F.col(label)).agg(F.count(F.lit(1)).alias("n"))
+    """Per-second rate per label over sliding windows.  Rows are counted into
+    panes of one slide; only panes are copied into the windows they lie in."""
+    panes = df.groupBy(F.window(ts, slide).alias("p"), F.col(label)).agg(F.count(F.lit(1)).alias("n"))
+    panes = panes.select(F.col("p.start").alias("_at"), F.col(label), "n")
+    g = panes.groupBy(F.window("_at", window, slide).alias("w"), F.col(label)).agg(F.sum("n").alias("n"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), F.col(label),
                     F.col("n").cast("long").alias("n"), r6(F.col("n") / F.lit(float(seconds))).alias("rate"))
 

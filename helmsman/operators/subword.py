@@ -52,7 +52,7 @@ def _lookup(exploded: DataFrame, vocab: Vocab, on: str, value: str) -> DataFrame
     if fits(vocab.table, BROADCAST_VOCAB_ROWS):
         return exploded.join(F.broadcast(v), exploded[on] == v["_k"], "left").drop("_k")
     salted = exploded.withColumn("_s", F.pmod(F.xxhash64(F.col("_row"), F.col("pos")), F.lit(SALT)))
-    vs = v.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("long"))
+    vs = v.withColumn("_s", F.explode(F.expr(f"sequence(0L, {SALT - 1}L)")))
     return salted.join(vs, (salted[on] == vs["_k"]) & (salted["_s"] == vs["_s"]), "left").drop("_k", "_s")
 
 

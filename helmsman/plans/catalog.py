@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_analytics, q_decision, q_kb, q_models, q_retrieval, q_streaming, q_text  # noqa: F401
+from . import q_analytics, q_decision, q_index, q_kb, q_models, q_retrieval, q_streaming, q_text  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 

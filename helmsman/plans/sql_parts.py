@@ -11,20 +11,20 @@ def bm25_index(source: str = "documents") -> str:
 
 
 BM25_INDEX_TMPL = r"""
-kb_tok AS (
+kb_tok AS MATERIALIZED (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda t: t <> '') AS toks
   FROM {source}
 ),
 kb_dl AS (SELECT doc_id, len(toks) AS dl FROM kb_tok),
 kb_stats AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM kb_dl),
-kb_post AS (
+kb_post AS MATERIALIZED (
   SELECT p.doc_id, p.term, p.tf,
          (p.tf * 2.5) / (p.tf + 1.5 * (0.25 + 0.75 * d.dl / s.avgdl)) AS w
   FROM (SELECT doc_id, term, count(*) AS tf
         FROM (SELECT doc_id, unnest(toks) AS term FROM kb_tok) GROUP BY doc_id, term) p
   JOIN kb_dl d USING (doc_id) CROSS JOIN kb_stats s
 ),
-kb_raw_idf AS (
+kb_raw_idf AS MATERIALIZED (
   SELECT term, df, ln(s.n - df + 0.5) - ln(df + 0.5) AS raw_idf
   FROM (SELECT term, count(*) AS df FROM kb_post GROUP BY term) CROSS JOIN kb_stats s
 ),
