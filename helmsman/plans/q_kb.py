@@ -326,3 +326,31 @@ def s4_active_scan_after_deletes(spark, sf_dir):
     kb = KB.soft_delete(kb, labels.filter(F.col("toxic") == 1).select(F.col("doc_id").alias("id")), t)
     kb = KB.hard_delete(kb, labels.filter(F.col("quality") == 0).select(F.col("doc_id").alias("id")))
     return KB.active_documents(kb).select("id", F.length("content").cast("long").alias("content_chars"))
+
+
+@register("s5_active_count", sql="""
+SELECT count(*)::BIGINT AS n_active FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+""")
+def s5_active_count(spark, sf_dir):
+    """Active documents after the toxic ones were soft-deleted."""
+    toxic = fx.table(spark, sf_dir, "labels").filter(F.col("toxic") == 1).select(F.col("doc_id").alias("id"))
+    return KB.active_count(KB.soft_delete(fx.knowledge_base(spark, sf_dir), toxic, fx.as_of(spark, sf_dir)))
+
+
+@register("s9_reference_effects", sql="""
+WITH del AS (SELECT doc_id AS id FROM labels WHERE quality = 0),
+r AS (SELECT event_id AS query_id, event_type, (props->>'k')::BIGINT AS kb_id FROM events)
+SELECT event_type, count(*)::BIGINT AS n_retrievals, count(*) FILTER (kb_id NOT IN (SELECT id FROM del))::BIGINT AS n_references,
+       count(*) FILTER (event_type IN ('purchase', 'error'))::BIGINT AS n_feedback
+FROM r WHERE query_id NOT IN (SELECT id FROM del) GROUP BY 1
+""")
+def s9_reference_effects(spark, sf_dir):
+    """Hard deletes and what refers to the deleted rows: deleted questions take their
+    retrievals and feedback with them, deleted documents leave retrievals without a
+    reference (every event is a question that retrieved the document its property names)."""
+    gone = fx.table(spark, sf_dir, "labels").filter(F.col("quality") == 0).select(F.col("doc_id").alias("id")).distinct()
+    log = fx.request_log(spark, sf_dir).select("query_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("kb_id"))
+    left = KB.null_deleted_refs(KB.cascade(log, gone), gone)
+    feedback = KB.cascade(fx.feedback_log(spark, sf_dir), gone).select("query_id", F.lit(1).alias("f"))
+    return left.join(feedback, "query_id", "left").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n_retrievals"), F.count("kb_id").alias("n_references"), F.count("f").alias("n_feedback"))

@@ -128,3 +128,9 @@ def null_deleted_refs(retrievals: DataFrame, ids: DataFrame) -> DataFrame:
     j = retrievals.join(k, retrievals.kb_id == k._did, "left")
     return j.select(*[F.when(F.col("_did").isNotNull(), F.lit(None).cast("long")).otherwise(F.col(c)).alias(c)
                       if c == "kb_id" else F.col(c) for c in retrievals.columns])
+
+
+def cascade(children: DataFrame, ids: DataFrame, key: str = "query_id") -> DataFrame:
+    """S9 (FK ON DELETE CASCADE): rows of a child table without those whose ``key`` is
+    among the deleted ``ids``; a null key refers to nothing and stays."""
+    return children.join(ids.select(F.col("id").alias(key)), key, "left_anti")
