@@ -256,6 +256,55 @@ def test_exact_quantiles_with_hot_group(spark):
             assert got[(g, q)] == pytest.approx(float(np.quantile(xs, q)), abs=1e-12)
 
 
+def _tile_case(n_docs, n_terms, n_questions, seed):
+    """Random postings (doc, t, w), repeated rows and copies among them, and question
+    entries with positive, zero and negative weights."""
+    rng = np.random.default_rng(seed)
+    w = np.where(rng.random((n_docs, n_terms)) < 0.3 / (1 + np.arange(n_terms) % 7), rng.random((n_docs, n_terms)) + 0.2, 0.0)
+    w[n_docs // 2: n_docs // 2 + 40] = w[n_docs // 2]  # a group of copies
+    entries = rng.random((n_questions, n_terms)) < 0.2
+    weight = np.where(entries, rng.choice([-0.3, 0.0, 0.4, 2.0, 5.0], (n_questions, n_terms)), 0.0)
+    doc, t = np.nonzero(w)
+    q, qt = np.nonzero(entries)
+    return w, weight, (doc, t, w[doc, t]), (np.arange(n_questions) * 10, q, qt, weight[q, qt], n_terms)
+
+
+@pytest.mark.parametrize("with_floors", [False, True])
+def test_block_max_top_k_equals_all_scores(with_floors, monkeypatch):
+    monkeypatch.setattr(bm25, "MAX_PRODUCTS", 300)
+    monkeypatch.setattr(bm25, "MAX_CELLS", 2_000)
+    k = 5
+    w, weight, (doc, t, value), block = _tile_case(400, 30, 25, 3)
+    scores = weight @ w.T
+    floors = np.maximum(0.0, -np.sort(-scores[:, :100], axis=1)[:, k - 1]) if with_floors else None
+    tiles = bm25._query_tiles(block, floors, k)
+    split = int(np.searchsorted(doc, 150))
+    read = sum(bm25._score_documents(doc[a:b], t[a:b], value[a:b], tiles) for a, b in ((0, split), (split, len(doc))))
+    top = tiles[0].top
+    found = {(int(q), int(d)): s for q, d, s in zip(top.r, top.ids, top.s)}
+    for q in range(len(weight)):
+        best = sorted((-round(x, 9), d) for d, x in enumerate(scores[q]) if x > 1e-9)[:k]
+        for s, d in best:
+            assert found[(q, d)] == pytest.approx(-s, abs=1e-9)
+        assert sum(1 for q2, _ in found if q2 == q) <= 3 * k  # copies do not pile up
+    everything = int(sum(np.count_nonzero(w[:, term]) for _, term in zip(block[1], block[2])))
+    assert read < everything * (0.8 if with_floors else 1.0)
+
+
+def test_repeated_document_ids_score_together():
+    block = (np.array([7]), np.array([0, 0]), np.array([0, 1]), np.array([1.0, 2.0]), 2)
+    tiles = bm25._query_tiles(block, np.array([2.5]), 1)
+    bm25._score_documents(np.array([4, 4, 4, 9]), np.array([1, 0, 1, 1]), np.array([0.5, 1.0, 1.0, 1.0]), tiles)
+    assert list(zip(tiles[0].top.ids, tiles[0].top.s)) == [(4, 4.0)]
+
+
+def test_top_k_of_copies_keeps_the_smallest_ids():
+    top = knn.TopK(1, 3)
+    top.add(np.full((1, 1000), 0.5), np.arange(1000, 0, -1))
+    top.prune()
+    assert sorted(top.ids) == [1, 2, 3]
+
+
 def test_pruned_bm25_topk_equals_exhaustive(spark):
     from helmsman.sources import fixtures as fx
     from tests.conftest import SF_SMALL
