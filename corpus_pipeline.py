@@ -59,7 +59,7 @@ STAGES = [
     ("sharding", sharded),
 ]
 
-ORACLE_SQL = None  # a trained model and hash-ranked samples; see tests/llm/test_pipeline.py
+ORACLE_SQL = None  # a trained model and hash-ranked samples; see tests/llm/test_models_and_groups.py
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
