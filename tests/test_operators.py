@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helmsman.config import CleanParams, DecisionParams, PiiParams
+from helmsman.config import Bm25Params, CleanParams, DecisionParams, PiiParams
 from helmsman.functions import pii
 from helmsman.functions import text as T
 from helmsman.operators import bm25, context, decision, fusion, knn, numbering
@@ -460,3 +460,23 @@ def test_duplicate_and_empty_updates(spark):
     changed = {r["id"]: r["content"] for r in out.where("updated_at > '2029-01-01'").collect()}
     assert changed == {1: "new b"}
     assert KB.update(kb, updates.select("id"), dt.datetime(2030, 1, 1)).where("updated_at > '2029-01-01'").count() == 0
+
+
+def test_many_blocks_of_questions_give_the_hits_and_scores_of_one(spark):
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    corpus = [(i, " ".join(rnd.choices(words, [1 / (j + 1) for j in range(40)], k=rnd.randrange(0, 30)))) for i in range(300)]
+    corpus += [(1000 + i, corpus[7][1] or "w1 w2") for i in range(60)] + [(2000, None), (2001, "")]
+    qs = spark.createDataFrame([(i, t) for i, t in corpus[::5]] + [(5000, None), (None, "w1 w3")], "query_id long, text string")
+    docs = spark.createDataFrame(corpus, "doc_id long, text string")
+    one, many = (bm25.build_index(docs, params=Bm25Params(query_max_bytes=size)) for size in (64 << 20, 3_000))
+    assert len(list(bm25._question_blocks(many, qs.where("query_id is not null")))) > 5
+    hits = [sorted(tuple(r) for r in bm25.search(x, qs, k=4).select("query_id", "doc_id", "score", "rank").collect()) for x in (one, many)]
+    assert hits[0] == hits[1] and len(hits[0]) > 200
+    # every pair that shares a term, from the postings themselves
+    qt = bm25.query_terms(qs).join(one.terms, "term").join(one.postings, "term")
+    want = {(r["query_id"], r["doc_id"]): r["s"] for r in qt.groupBy("query_id", "doc_id").agg(F.sum(F.expr("qtf * idf * w")).alias("s")).collect()}
+    for x in (one, many):
+        got = {(r["query_id"], r["doc_id"]): r["score"] for r in bm25.scores(x, qs).collect()}
+        assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], abs=1e-9) for p in want)
+    assert any(q is None for q, _ in want)
