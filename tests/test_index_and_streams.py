@@ -306,3 +306,58 @@ def test_names_are_learnt_from_contexts(spark):
     row = spark.createDataFrame([("please ask Keiko about Paris",)], "t string").select(pii.counts("t", params)["PERSON"].alias("n")).first()
     assert row["n"] == 1
     assert [r["name"] for r in names.learn(texts.limit(0), ["Alice"]).collect()] == ["Alice"]
+
+
+# --- bounded memory, tables that are folders -----------------------------------
+
+def test_a_tile_of_questions_leaves_before_the_next_begins(monkeypatch):
+    monkeypatch.setattr(knn, "QUERY_TILE", 4)
+    monkeypatch.setattr(knn, "CHUNK_BYTES", 8 * 3 * 10)  # ten documents
+    rng = np.random.default_rng(1)
+    d, q = rng.normal(size=(25, 3)), rng.normal(size=(9, 3))
+
+    def batches():
+        for at in range(0, 25, 5):
+            assert at < 10 or seen  # the first ten documents are scored before more are read
+            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + 5)), pa.array(d[at:at + 5].tolist())], names=["id", "embedding"])
+
+    seen = []
+    for part in knn._search_kernel(lambda: (np.arange(9), q, None), 2, 3)(batches()):
+        assert len(set(part["query_id"].to_numpy() // 4)) == 1
+        seen.append(part.num_rows)
+    assert len(seen) == 3 * 3 and sum(seen) >= 9 * 2 * 3
+
+
+def test_lsh_compares_exactly_the_pairs_of_a_common_bucket(spark):
+    from helmsman.config import VectorParams
+
+    x = _clustered(500, 6)
+    kb, qs = _vectors(spark, x), _vectors(spark, x[:40] + 0.1, "query_id", "vector")
+    p = VectorParams(lsh_bucket_length=0.2, lsh_tables=2)
+    one, many = (sorted(map(tuple, knn.approx_search(kb, qs, 3, v).collect())) for v in (p, VectorParams(lsh_bucket_length=0.2, lsh_tables=2, broadcast_max_bytes=0, block_rows=7)))
+    exact = {(r["query_id"], r["doc_id"]): r["score"] for r in knn.search(kb, qs, 500).collect()}
+    assert one == many and 0 < len(one) <= 120
+    assert all(exact[q, d] == pytest.approx(s, abs=2e-6) for q, d, s, _ in one)
+    other = _vectors(spark, -x)  # each id three times, with two vectors
+    assert [r[:2] for r in sorted(map(tuple, knn.approx_search(kb.union(kb), qs, 3, p).collect()))] == [r[:2] for r in one]
+    assert knn.approx_search(kb.union(kb).union(other), qs, 3, p).groupBy("query_id").agg(F.countDistinct("doc_id").alias("n")).where("n > 3").count() == 0
+
+
+def test_quantised_search_by_small_chunks(monkeypatch):
+    x = _clustered(2000).astype(np.float32)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    quantiser = pq.fit(unit, 8)
+    lists = quantiser.assign(unit)
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(range(2000)), pa.array([c.tobytes() for c in quantiser.code(unit, lists)])], names=["list", "id", "code"])
+
+    def best(chunk, tile):
+        monkeypatch.setattr(pq, "CHUNK_CODES", chunk)
+        monkeypatch.setattr(pq, "QUESTION_TILE", tile)
+        found = {}
+        for part in pq._scan_kernel(lambda: (quantiser, unit[:30]))([batch]):
+            assert len(set(part["q"].to_numpy() // tile)) <= 1  # one tile's survivors at a time
+            for q, d, s in zip(*(part[c].to_pylist() for c in ("q", "doc_id", "score"))):
+                found.setdefault(q, []).append((-round(s, 5), d))
+        return {q: sorted(v)[:10] for q, v in found.items()}
+
+    assert best(300, 7) == best(1 << 17, 1024)
