@@ -4,12 +4,11 @@ Nothing is trained: a vocabulary is a file of lines ``base64(bytes) rank`` whose
 is a parameter.  It has every single byte, so no text has unknown parts and decoding
 gives the text back.
 
-Texts are cut into words by one regular expression on the JVM.  Every **distinct** word
-is encoded once (a corpus has far fewer distinct words than words): its bytes are
-merged pair by pair, the pair of the lowest rank first.  The words' ids go back to
-their places by a broadcast of the distinct words when their number allows it, or else
-by a join salted by place, so a word that is everywhere does not meet in one task;
-each text's ids are then put together where the text's words already are.
+Texts are cut into words by one regular expression on the JVM; what is shuffled is the
+texts, once, by their id.  Where a text's words are, every **distinct** word of a batch
+is encoded once (a task remembers those it has met, up to ``BROADCAST_WORDS``): its bytes
+are merged pair by pair, the pair of the lowest rank first.  Decoding is a lookup in the
+broadcast vocabulary, text by text.
 """
 
 from __future__ import annotations
@@ -18,18 +17,20 @@ import base64
 import os
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import MAX_TOKENS
-from ..session import fits
 
 VOCABULARY = os.environ.get("HELMSMAN_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # FIXED VALUE: the word pattern that belongs to the vocabulary ((?U): Unicode classes).
 WORD = r"(?U)'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BROADCAST_WORDS = 2_000_000
-SALT = 16
+BROADCAST_WORDS = 200_000  # distinct words a task remembers
+ROWS = 512  # ids encoded or decoded at once
 
 
 @dataclass
@@ -98,49 +99,82 @@ def words(c: str | Column) -> Column:
     return F.regexp_extract_all(F.coalesce(c.cast("string"), F.lit("")), F.lit(WORD), 0)
 
 
-def word_ids(found: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(word, ids) of the distinct words of ``found`` (word)."""
-    spark = found.sparkSession
+def _shared(spark: SparkSession, value):
     try:  # shipped once per executor
-        sent = spark.sparkContext.broadcast(vocabulary.ranks)
-        get = lambda: sent.value
+        sent = spark.sparkContext.broadcast(value)
+        return lambda: sent.value
     except Exception:  # sessions without a SparkContext: with the task
-        get = lambda: vocabulary.ranks
-
-    def run(batches):
-        ranks = get()
-        for batch in batches:
-            raw = [w.encode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()]
-            ids = [merged(w, ranks) if len(w) < LONG else merged_long(w, ranks) for w in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return found.select("word").distinct().mapInArrow(run, "word string, ids array<int>")
+        return lambda: value
+
+
+def _word_ids(found: list[str], ranks: dict[bytes, int], known: dict[str, list[int]]) -> list[list[int]]:
+    """Ids of the distinct words ``found``; ``known`` are the words met before."""
+    if len(known) > BROADCAST_WORDS:
+        known.clear()
+    made = []
+    for word in found:
+        ids = known.get(word)
+        if ids is None:
+            raw = word.encode("utf-8", "surrogatepass")
+            ids = merged(raw, ranks) if len(raw) < LONG else merged_long(raw, ranks)
+            if len(raw) < LONG:
+                known[word] = ids
+        made.append(ids)
+    return made
+
+
+def _encoded(part: pa.RecordBatch, ranks: dict[bytes, int], known: dict[str, list[int]], max_length: int) -> pa.RecordBatch:
+    """(id, the words of its texts) -> (id, input_ids, n_tokens)."""
+    n, texts = part.num_rows, part.column(1)
+    lists = texts.flatten()
+    words_of_text, texts_of_row = (pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in (lists, texts))
+    coded = lists.flatten().dictionary_encode()
+    made = _word_ids(coded.dictionary.to_pylist(), ranks, known)
+    length, value = np.array([len(x) for x in made], np.int64), np.array([i for x in made for i in x], np.int32)
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    row = np.repeat(np.repeat(np.arange(n), texts_of_row), words_of_text)
+    if (texts_of_row > 1).any():  # texts of one id count together, by place and ids
+        place = np.arange(len(code)) - np.repeat(np.cumsum(words_of_text) - words_of_text, words_of_text)
+        by_ids = np.empty(len(made), np.int64)
+        by_ids[sorted(range(len(made)), key=made.__getitem__)] = np.arange(len(made))
+        code = code[np.lexsort((by_ids[code], place, row))]
+    size = length[code]
+    total = np.bincount(row, size, minlength=n).astype(np.int64)
+    ids = value[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat((np.cumsum(length) - length)[code], size)]
+    kept = np.minimum(total, max_length)
+    if (kept < total).any():
+        ids = ids[np.arange(len(ids)) - np.repeat(np.cumsum(total) - total, total) < max_length]
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array(ids, pa.int32()))
+    return pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(total)], names=["_row", "input_ids", "n_tokens"])
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str = "text", max_length: int = MAX_TOKENS) -> DataFrame:
     """(id, input_ids, attention_mask, n_tokens).  ``input_ids`` are the first
     ``max_length`` ids, ``n_tokens`` counts those of the whole text; a null or empty
     text has none."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = df.select(F.col(id_col).alias("_row"), F.col(text_col).alias("_t")).repartition(parts, "_row")
-    placed = base.select("_row", F.posexplode_outer(words("_t")).alias("pos", "word"))
-    known = word_ids(df.select(F.explode(words(text_col)).alias("word")), vocabulary).persist()
-    if fits(known, BROADCAST_WORDS):
-        met = placed.join(F.broadcast(known), "word", "left")
-    else:
-        salted = placed.withColumn("_s", F.pmod(F.xxhash64("_row", "pos"), F.lit(SALT)))
-        met = salted.join(known.withColumn("_s", F.explode(F.expr(f"sequence(0L, {SALT - 1}L)"))), ["word", "_s"], "left")
-    rows = met.groupBy("_row").agg(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", "ids")))).alias("_p"))  # one text's words
-    ids = F.flatten(F.transform("_p", lambda x: x["ids"]))
-    cut = F.slice(ids, 1, max_length)
-    return rows.select(F.col("_row").alias(id_col), cut.alias("input_ids"), F.transform(cut, lambda x: F.lit(1)).alias("attention_mask"),
-                       F.size(ids).cast("long").alias("n_tokens"))
+    get = _shared(df.sparkSession, vocabulary.ranks)
+
+    def run(batches):
+        known: dict[str, list[int]] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                yield _encoded(batch.slice(at, ROWS), get(), known, max_length)
+
+    texts = df.groupBy(F.col(id_col).alias("_row")).agg(F.collect_list(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_t"))
+    schema = T.StructType([T.StructField("_row", df.schema[id_col].dataType), T.StructField("input_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
+    made = texts.select("_row", F.transform("_t", words)).mapInArrow(run, schema)
+    return made.select(F.col("_row").alias(id_col), "input_ids", F.transform("input_ids", lambda x: F.lit(1)).alias("attention_mask"), "n_tokens")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, id_col: str) -> DataFrame:
     """(id, text); a sequence that was cut inside a character ends in U+FFFD."""
-    table = F.broadcast(vocabulary.table(encoded.sparkSession))  # the vocabulary's size
-    placed = encoded.select(F.col(id_col).alias("_row"), F.posexplode_outer("input_ids").alias("pos", "id"))
-    rows = placed.join(table, "id", "left").groupBy("_row").agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", F.hex("bytes").alias("h"))))).alias("_p"))
-    raw = F.unhex(F.array_join(F.transform("_p", lambda x: x["h"]), ""))
-    return rows.select(F.col("_row").alias(id_col), raw.cast("string").alias("text"))
+    get = _shared(encoded.sparkSession, {i: b for b, i in vocabulary.ranks.items()})
+
+    def run(batches):
+        table = get()
+        for batch in batches:
+            raw = [b"".join([table.get(i, b"") for i in ids or ()]) for at in range(0, batch.num_rows, ROWS) for ids in batch.column(1).slice(at, ROWS).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["_row", "raw"])
+
+    schema = T.StructType([T.StructField("_row", encoded.schema[id_col].dataType), T.StructField("raw", T.BinaryType())])
+    return encoded.select(id_col, "input_ids").mapInArrow(run, schema).select(F.col("_row").alias(id_col), F.col("raw").cast("string").alias("text"))

@@ -361,3 +361,13 @@ def test_quantised_search_by_small_chunks(monkeypatch):
         return {q: sorted(v)[:10] for q, v in found.items()}
 
     assert best(300, 7) == best(1 << 17, 1024)
+
+
+def test_no_row_per_word_is_shuffled(spark):
+    docs = _texts(spark, [(i, f"the cat{i % 7} sat on, the") for i in range(50)] + [(60, None), (7, "once more")])
+    vocabulary = byte_pairs.load()
+    made = byte_pairs.encode(docs, vocabulary, "doc_id")
+    assert "Generate" not in made._jdf.queryExecution().toString()
+    assert "Generate" not in byte_pairs.decode(made, vocabulary, "doc_id")._jdf.queryExecution().toString()
+    rows = {r["doc_id"]: r for r in made.collect()}
+    assert len(rows) == 51 and rows[60]["input_ids"] == [] and rows[7]["n_tokens"] == rows[0]["n_tokens"] + 2
