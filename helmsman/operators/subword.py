@@ -1,18 +1,24 @@
 """Corpus vocabulary and token-id encoding.
 
 The vocabulary is one aggregate (term counts) plus distributed numbering in
-(count desc, term) order; ids 0-3 are the special tokens.  Encoding shuffles
-the raw texts once by id, explodes tokens in place, looks ids up in the
-vocabulary (broadcast when its row count is proven small, a salted shuffle
-join otherwise) and rebuilds each text's id list with a local aggregate.
+(count desc, term) order; ids 0-3 are the special tokens.  Encoding deals the
+raw texts into chunks of a bounded size by a hash of their id; only the distinct
+terms of a chunk meet the vocabulary, and a chunk's ids meet its texts again in
+one co-group, so no row per token is shuffled.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import MAX_TOKENS
 from ..session import fits
@@ -24,6 +30,7 @@ SPECIALS = (("[PAD]", PAD), ("[UNK]", UNK), ("[CLS]", CLS), ("[SEP]", SEP))
 TOKEN_RE = r"(?U)\w+|[^\w\s]"
 BROADCAST_VOCAB_ROWS = 2_000_000
 SALT = 16
+CHUNK_BYTES = 16 << 20  # text bytes of a chunk, about
 
 
 def tokens(c) -> Column:
@@ -63,19 +70,47 @@ def encode(df: DataFrame, vocab: Vocab, id_col: str, text_col: str = "text", max
     [UNK]; an empty text gives empty lists.  ``n_tokens`` counts every token of
     the whole text."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = df.select(F.col(id_col).alias("_row"), F.col(text_col).alias("_t")).repartition(parts, "_row")
-    ex = base.select("_row", F.posexplode_outer(tokens("_t")).alias("pos", "term"))
-    j = _lookup(ex, vocab, "term", "id")
-    g = j.groupBy("_row").agg(
-        F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(),
-                                           F.struct("pos", F.coalesce(F.col("_val"), F.lit(UNK)).alias("id"))))).alias("_p"),
-        F.count("term").alias("n_tokens"))
-    body = F.transform(F.slice(F.col("_p"), 1, max_length - 2), lambda x: x["id"])
-    ids = F.when(F.col("n_tokens") == 0, F.array().cast("array<long>")).otherwise(
-        F.concat(F.array(F.lit(CLS).cast("long")), body.cast("array<long>"), F.array(F.lit(SEP).cast("long"))))
-    return g.select(F.col("_row").alias(id_col), ids.alias("input_ids"),
-                    F.transform(ids, lambda x: F.lit(1)).alias("attention_mask"),
-                    F.col("n_tokens").cast("long").alias("n_tokens"))
+    size = df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    chunks = max(parts, math.ceil(size / CHUNK_BYTES))
+    base = (df.select(F.col(id_col).alias("_row"), F.col(text_col).alias("_t"))
+            .withColumn("_c", F.pmod(F.xxhash64("_row"), F.lit(chunks))).repartition(parts, "_c"))
+    # a text's ids are looked up only as far as ``input_ids`` reaches
+    cut = (base.select("_c", "_row", tokens("_t").alias("_w"))
+           .select("_c", "_row", F.slice("_w", 1, max_length - 2).alias("toks"), F.size("_w").cast("long").alias("n")))
+    met = cut.select(F.col("_c").alias("_k"), F.explode("toks").alias("term")).distinct()
+    known = met.join(vocab.table.select("term", F.col("id").cast("long").alias("id")), "term").select("_k", "term", "id")
+    row = T.StructField("_row", df.schema[id_col].dataType)
+    schema = T.StructType([row, T.StructField("input_ids", T.ArrayType(T.LongType())), T.StructField("n_tokens", T.LongType())])
+    made = cut.groupBy("_c").cogroup(known.groupBy("_k")).applyInArrow(_encode_chunk(max_length - 2), schema)
+    return made.select(F.col("_row").alias(id_col), "input_ids", F.transform("input_ids", lambda x: F.lit(1)).alias("attention_mask"), "n_tokens")
+
+
+def _encode_chunk(most: int):
+    """(texts' first tokens, ids of the chunk's terms) -> id lists."""
+
+    def run(texts: pa.Table, terms: pa.Table) -> pa.Table:
+        rows, lists = texts["_row"].combine_chunks().dictionary_encode(null_encoding="encode"), texts["toks"].combine_chunks()
+        group, groups = rows.indices.to_numpy(zero_copy_only=False), len(rows.dictionary)
+        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        at = pc.fill_null(pc.index_in(coded.dictionary, value_set=terms["term"].combine_chunks()), -1).to_numpy(zero_copy_only=False)
+        ids = np.concatenate([terms["id"].to_numpy(), [UNK]])[at][coded.indices.to_numpy(zero_copy_only=False)]  # -1: the last
+        owner, place = np.repeat(group, size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        order = np.lexsort((ids, place, owner))  # texts of one id count together, by place and id
+        owner, ids = owner[order], ids[order]
+        held = np.bincount(owner, minlength=groups)
+        body = np.arange(len(ids)) - np.repeat(np.cumsum(held) - held, held) < most
+        owner, ids, kept = owner[body], ids[body], np.minimum(held, most)
+        total = np.bincount(group, texts["n"].to_numpy(), minlength=groups).astype(np.int64)
+        length = np.where(total > 0, kept + 2, 0)
+        ends = np.cumsum(length)
+        out, some = np.zeros(length.sum(), np.int64), total > 0
+        out[(ends - length)[some]], out[ends[some] - 1] = CLS, SEP
+        out[np.arange(len(ids)) - np.repeat(np.cumsum(kept) - kept, kept) + (ends - length)[owner] + 1] = ids
+        made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(out))
+        return pa.table({"_row": rows.dictionary, "input_ids": made, "n_tokens": pa.array(total)})
+
+    return run
 
 
 def pad_batch(encoded: DataFrame) -> DataFrame:

@@ -371,3 +371,15 @@ def test_no_row_per_word_is_shuffled(spark):
     assert "Generate" not in byte_pairs.decode(made, vocabulary, "doc_id")._jdf.queryExecution().toString()
     rows = {r["doc_id"]: r for r in made.collect()}
     assert len(rows) == 51 and rows[60]["input_ids"] == [] and rows[7]["n_tokens"] == rows[0]["n_tokens"] + 2
+
+
+def test_subwords_meet_the_vocabulary_by_distinct_terms(spark):
+    from helmsman.operators import subword
+
+    docs = _texts(spark, [(i, "a a b " * 40 + f"c{i % 5}") for i in range(40)] + [(50, None), (51, ""), (52, "a zz")])
+    vocab = subword.build_vocab(docs.where("doc_id <> 52"))
+    ids = {r["term"]: r["id"] for r in vocab.table.collect()}
+    got = {r["doc_id"]: r for r in subword.encode(docs, vocab, "doc_id", max_length=8).collect()}
+    assert got[3]["input_ids"] == [2, *(ids[t] for t in "a a b a a b".split()), 3] and got[3]["n_tokens"] == 121
+    assert got[50]["input_ids"] == got[51]["input_ids"] == [] and got[52]["input_ids"] == [2, ids["a"], 1, 3]
+    assert "partial_collect_list" not in subword.encode(docs, vocab, "doc_id")._jdf.queryExecution().toString()
