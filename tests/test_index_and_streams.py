@@ -383,3 +383,11 @@ def test_subwords_meet_the_vocabulary_by_distinct_terms(spark):
     assert got[3]["input_ids"] == [2, *(ids[t] for t in "a a b a a b".split()), 3] and got[3]["n_tokens"] == 121
     assert got[50]["input_ids"] == got[51]["input_ids"] == [] and got[52]["input_ids"] == [2, ids["a"], 1, 3]
     assert "partial_collect_list" not in subword.encode(docs, vocab, "doc_id")._jdf.queryExecution().toString()
+
+
+def test_terms_of_a_segment_are_counted_where_the_text_is(monkeypatch):
+    monkeypatch.setattr(segments, "ROWS", 2)
+    toks = [["a", "b", "a"], [], None, ["b"], ["c", "c", "c"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([3, 0, 0, 1, 3], pa.int32()), pa.array(toks, pa.list_(pa.string()))], names=["doc_id", "dl", "toks"])
+    rows = [r for part in segments._count_terms([batch]) for r in part.to_pylist()]
+    assert [(r["doc_id"], sorted((t["term"], t["tf"]) for t in r["terms"])) for r in rows] == [(0, [("a", 2), ("b", 1)]), (1, []), (2, []), (3, [("b", 1)]), (4, [("c", 3)])]
