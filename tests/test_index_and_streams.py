@@ -391,3 +391,18 @@ def test_terms_of_a_segment_are_counted_where_the_text_is(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([3, 0, 0, 1, 3], pa.int32()), pa.array(toks, pa.list_(pa.string()))], names=["doc_id", "dl", "toks"])
     rows = [r for part in segments._count_terms([batch]) for r in part.to_pylist()]
     assert [(r["doc_id"], sorted((t["term"], t["tf"]) for t in r["terms"])) for r in rows] == [(0, [("a", 2), ("b", 1)]), (1, []), (2, []), (3, [("b", 1)]), (4, [("c", 3)])]
+
+
+def test_language_gains_in_the_task_equal_joined_gains(spark, monkeypatch):
+    from helmsman.config import LangParams
+    from helmsman.operators import language
+
+    monkeypatch.setattr(language, "CHARS", 50)
+    rows = [(1, "the cat sat on the mat", "en"), (2, "le chat est sur la table", "fr"), (3, "el gato está en la mesa", "es"), (4, "東京 über", "de"), (5, "", "en"), (6, None, "fr"), (1, "der hund", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    small, joined = (language.train(df, params=LangParams(profile_max_bytes=b)) for b in (1 << 20, 0))
+    assert "Generate" not in language.scores(df, small, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    a, b = ({r["doc_id"]: r for r in language.scores(df, p, "doc_id", "text").collect()} for p in (small, joined))
+    assert a.keys() == b.keys()
+    for i in a:
+        assert all(a[i][c] == pytest.approx(b[i][c], abs=1e-9) for c in a[i].asDict() if c.startswith("score_"))
