@@ -34,10 +34,22 @@ EVENT_SCHEMA = T.StructType([
 
 
 def read_stream(spark: SparkSession, directory: str, schema: T.StructType, glob: str = "*.parquet",
-                files_per_trigger: int = 1) -> DataFrame:
-    """A file-directory stream (new parquet files become micro-batches)."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", glob)
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(directory))
+                files_per_trigger: int | None = 1) -> DataFrame:
+    """A file-directory stream (new parquet files become micro-batches; with None all
+    files that are there are one)."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(directory)
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType) -> DataFrame:
+    """A given table as a stream of one micro-batch, whether it is a file or a folder of files."""
+    path = sf_path(sf_dir, name)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return read_stream(spark, path, schema, files_per_trigger=None)
+    return read_stream(spark, event_source_dir(sf_dir), schema, f"{name}.parquet", None)
 
 
 def as_request_log(events: DataFrame) -> DataFrame:

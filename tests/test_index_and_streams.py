@@ -406,3 +406,13 @@ def test_language_gains_in_the_task_equal_joined_gains(spark, monkeypatch):
     assert a.keys() == b.keys()
     for i in a:
         assert all(a[i][c] == pytest.approx(b[i][c], abs=1e-9) for c in a[i].asDict() if c.startswith("score_"))
+
+
+def test_a_table_of_several_files_is_one_micro_batch(spark, scratch):
+    spark.range(30).repartition(3).write.parquet(f"{scratch}/pages.parquet")
+    spark.range(7).coalesce(1).write.parquet(f"{scratch}/one")
+    schema = spark.read.parquet(f"{scratch}/one").schema
+    seen = []
+    rows = jobs.table_stream(spark, scratch, "pages", schema)
+    rows.writeStream.foreachBatch(lambda b, e: seen.append(b.count())).option("checkpointLocation", f"{scratch}/c").trigger(availableNow=True).start().awaitTermination()
+    assert seen == [30]
