@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -480,3 +481,64 @@ def test_many_blocks_of_questions_give_the_hits_and_scores_of_one(spark):
         got = {(r["query_id"], r["doc_id"]): r["score"] for r in bm25.scores(x, qs).collect()}
         assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], abs=1e-9) for p in want)
     assert any(q is None for q, _ in want)
+
+
+def test_positive_scores_are_counted_where_they_are_made(spark):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    corpus = [(i, " ".join(rnd.choices(words, [1 / (j + 1) for j in range(60)], k=rnd.randrange(0, 25)))) for i in range(200)]
+    corpus += [(3, "w1 w2 w50"), (None, "w5 w7"), (300, None), (301, "")]
+    qs = spark.createDataFrame([(i, t) for i, t in corpus[::4]] + [(5000, None), (None, "w1 w3"), (6000, "unknown")], "query_id long, text string")
+    for size in (64 << 20, 2_000):
+        index = bm25.build_index(spark.createDataFrame(corpus, "doc_id long, text string"), params=Bm25Params(query_max_bytes=size))
+        want = {r["query_id"]: r["count"] for r in bm25.scores(index, qs).where("score > 0").groupBy("query_id").count().collect()}
+        got = {r["query_id"]: r["n"] for r in bm25.scores(index, qs, counted=True).collect()}
+        assert got == want and len(got) > 40
+    assert bm25.scores(index, qs.where("query_id = 6000"), counted=True).collect() == []
+
+
+@pytest.mark.parametrize("cost", [0, 10**9])
+def test_set_aside_entries_meet_their_postings_where_many_documents_come_near(cost, monkeypatch):
+    monkeypatch.setattr(bm25, "DENSE_SHARE", 10.0)  # no matrix product
+    monkeypatch.setattr(bm25, "LOOKUP_COST", cost)
+    monkeypatch.setattr(bm25, "MAX_CELLS", 1_000)
+    w, weight, (doc, t, value), block = _tile_case(400, 30, 25, 8)
+    scores = weight @ w.T
+    tiles = bm25._query_tiles(block, np.maximum(0.0, -np.sort(-scores[:, :100], axis=1)[:, 4]), 5)
+    read = bm25._score_documents(doc, t, value, tiles)
+    found = {(int(q), int(d)): s for q, d, s in zip(tiles[0].top.r, tiles[0].top.ids, tiles[0].top.s)}
+    for q in range(len(weight)):
+        for s, d in sorted((-round(x, 9), d) for d, x in enumerate(scores[q]) if x > 1e-9)[:5]:
+            assert found[(q, d)] == pytest.approx(-s, abs=1e-9)
+    everything = int(sum(np.count_nonzero(w[:, term]) for _, term in zip(block[1], block[2])))
+    assert read == everything and tiles[0].pause > 1 if cost else read < everything and tiles[0].pause == 1
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_buckets_of_few_and_many_pairs_above_the_floor(wide, monkeypatch):
+    rng = np.random.default_rng(4)
+    unit = lambda n: (lambda m: m / np.linalg.norm(m, axis=1)[:, None])(rng.normal(size=(n, 6)))
+    q, d = unit(30), unit(500)
+    qb, db = (rng.integers(0, 4, (n, 2)) + (1000 if wide else 0) for n in (30, 500))
+    qb, db = (knn._buckets(pa.table({"buckets": pa.array(x.tolist(), pa.list_(pa.int64()))})) for x in (qb, db))
+    assert qb.dtype == (np.int64 if wide else np.int8)
+    scores = np.where((qb[:, None, :] == db[None]).any(axis=2), q @ d.T, -np.inf)
+    want = {(i, int(j)) for i in range(30) for j in np.flatnonzero(scores[i] >= np.sort(scores[i])[-3] - knn.TIE_TOL)}
+    for few in (0, 2, 10**9):
+        monkeypatch.setattr(knn, "FEW", few)
+        tiles = knn.Tiles(np.arange(30), q, 3, qb)
+        for i in range(0, 500, 90):
+            tiles.add(d[i:i + 90], np.arange(i, min(i + 90, 500)), db[i:i + 90])
+        assert {(int(a), int(b)) for f in tiles.frames() for a, b in zip(f.query_id, f.doc_id)} == want
+
+
+def test_the_best_of_a_block_are_the_floor_of_the_next():
+    rng = np.random.default_rng(2)
+    scores, top = rng.random((20, 600)), knn.TopK(20, 5)
+    for at in range(0, 600, 200):
+        top.add(scores[:, at:at + 200], np.arange(at, at + 200))
+        assert (top.floor == np.sort(scores[:, :200], axis=1)[:, -5]).all() or at
+        assert (top.floor <= np.sort(scores, axis=1)[:, -5]).all()
+    top.prune()
+    want = {(i, int(j)) for i in range(20) for j in np.flatnonzero(scores[i] >= np.sort(scores[i])[-5] - knn.TIE_TOL)}
+    assert set(zip(top.r.tolist(), top.ids.tolist())) == want
