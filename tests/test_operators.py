@@ -532,6 +532,19 @@ def test_buckets_of_few_and_many_pairs_above_the_floor(wide, monkeypatch):
         assert {(int(a), int(b)) for f in tiles.frames() for a, b in zip(f.query_id, f.doc_id)} == want
 
 
+def test_an_updated_index_outlives_the_one_it_came_from(spark):
+    docs = spark.createDataFrame([(i, f"alpha w{i} beta") for i in range(40)], "doc_id long, text string")
+    qs = spark.createDataFrame([(1, "gamma"), (2, "w5"), (3, "w7 alpha")], "query_id long, text string")
+    hits = lambda x: sorted(tuple(r) for r in bm25.search(x, qs, k=2).collect())
+    old = bm25.build_index(docs)
+    new = bm25.update_documents(old, spark.createDataFrame([(5, "gamma delta")], "doc_id long, text string"))
+    before = hits(new)
+    assert [df.is_cached for df in old.cached] == [True, True]
+    old.release()
+    assert not any(df.is_cached for df in old.cached) and all(df.is_cached for df in new.cached)
+    assert hits(new) == before and [d for q, d, *_ in before if q == 1] == [5]
+
+
 def test_the_best_of_a_block_are_the_floor_of_the_next():
     rng = np.random.default_rng(2)
     scores, top = rng.random((20, 600)), knn.TopK(20, 5)
