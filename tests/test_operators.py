@@ -555,3 +555,19 @@ def test_the_best_of_a_block_are_the_floor_of_the_next():
     top.prune()
     want = {(i, int(j)) for i in range(20) for j in np.flatnonzero(scores[i] >= np.sort(scores[i])[-5] - knn.TIE_TOL)}
     assert set(zip(top.r.tolist(), top.ids.tolist())) == want
+
+
+def test_question_terms_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(i, f"alpha w{i} beta") for i in range(40)], "doc_id long, text string")
+    index = bm25.build_index(docs)
+    plans, persist = [], type(docs).persist
+
+    def seen(df, *a):
+        plans.append(df._jdf.queryExecution().toString())
+        return persist(df, *a)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(docs), "persist", seen)
+        blocks = list(bm25._question_blocks(index, docs.select(F.col("doc_id").alias("query_id"), "text")))
+    assert len(blocks) == 1 and len(blocks[0].ids) == 40
+    assert any("qw" in p for p in plans) and not any("ResolvedHint" in p or "strategy=broadcast" in p for p in plans)
