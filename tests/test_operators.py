@@ -571,3 +571,25 @@ def test_question_terms_are_not_broadcast(spark):
         blocks = list(bm25._question_blocks(index, docs.select(F.col("doc_id").alias("query_id"), "text")))
     assert len(blocks) == 1 and len(blocks[0].ids) == 40
     assert any("qw" in p for p in plans) and not any("ResolvedHint" in p or "strategy=broadcast" in p for p in plans)
+
+
+def test_a_search_joins_and_sorts_no_postings(spark):
+    docs = spark.createDataFrame([(i, f"alpha w{i} beta") for i in range(40)], "doc_id long, text string")
+    index = bm25.build_index(docs)
+    (block,) = bm25._question_blocks(index, docs.select(F.col("doc_id").alias("query_id"), "text"))
+    plan = bm25._postings_of(index, block, None)._jdf.queryExecution().executedPlan().toString()
+    searched = plan.split("InMemoryRelation")[0]
+    assert "InMemoryTableScan" in searched and "Window" in searched
+    assert not any(x in searched for x in ("Join", "Exchange", "Sort"))
+
+
+def test_terms_with_one_hash_get_another_salt(spark, monkeypatch):
+    rnd = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(rnd.choices([f"w{j}" for j in range(50)], k=12))) for i in range(80)], "doc_id long, text string")
+    qs = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    hits = lambda: sorted(tuple(r) for r in bm25.search(bm25.build_index(docs), qs, k=4).collect())
+    want, exact = hits(), bm25._hash
+    # the first two salts give words of one length one hash
+    monkeypatch.setattr(bm25, "_hash", lambda salt: exact(salt) if salt > 1 else F.length("term").cast("long"))
+    assert bm25._salt(bm25.build_index(docs).terms) == 2
+    assert hits() == want and len(want) > 100
