@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from helmsman.config import Bm25Params, CleanParams, DecisionParams, PiiParams
+from helmsman.config import Bm25Params, CleanParams, DecisionParams, HybridParams, PiiParams
 from helmsman.functions import pii
 from helmsman.functions import text as T
 from helmsman.operators import bm25, context, decision, fusion, knn, numbering
@@ -593,3 +593,22 @@ def test_terms_with_one_hash_get_another_salt(spark, monkeypatch):
     monkeypatch.setattr(bm25, "_hash", lambda salt: exact(salt) if salt > 1 else F.length("term").cast("long"))
     assert bm25._salt(bm25.build_index(docs).terms) == 2
     assert hits() == want and len(want) > 100
+
+
+def test_retrievals_search_bm25_once_and_fuse_what_they_found(spark, monkeypatch):
+    from helmsman.plans import q_kb
+    from helmsman.sources import fixtures as fx
+
+    docs = [(i, f"w{i % 7} w{i % 3} common {'rare' if i % 9 == 0 else ''}") for i in range(60)] + [(100, "   "), (101, None), (102, ""), (103, "\t ")]
+    rows = spark.createDataFrame([(i, t, "en", "a") for i, t in docs], "doc_id long, text string, lang string, source string")
+    vecs = spark.createDataFrame([(i, [float(i % 5 + 1), float(i % 11), 1.0]) for i, _ in docs], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(fx, "table", lambda spark, sf_dir, name: {"documents": rows, "embeddings": vecs}[name])
+    asked, search = [], bm25.search
+    monkeypatch.setattr(bm25, "search", lambda *a, **k: asked.append(1) or search(*a, **k))
+    qs, b, v, h = q_kb._retrievals(spark, "")
+    assert len(asked) == 1
+    kb = fx.knowledge_base(spark, "")
+    index = bm25.build_index(kb.select(F.col("id").alias("doc_id"), F.col("content").alias("text")))
+    want = fusion.search(index, kb, qs, HybridParams(fusion="weighted"), top_k=5, with_documents=False)
+    assert sorted(map(tuple, h.collect())) == sorted(map(tuple, want.collect())) and h.count() >= 300
+    assert {r["query_id"] for r in h.collect()} & {100, 101, 102} == set() and v.where("query_id = 100").count() == 10
