@@ -612,3 +612,21 @@ def test_retrievals_search_bm25_once_and_fuse_what_they_found(spark, monkeypatch
     want = fusion.search(index, kb, qs, HybridParams(fusion="weighted"), top_k=5, with_documents=False)
     assert sorted(map(tuple, h.collect())) == sorted(map(tuple, want.collect())) and h.count() >= 300
     assert {r["query_id"] for r in h.collect()} & {100, 101, 102} == set() and v.where("query_id = 100").count() == 10
+
+
+def test_texts_are_split_and_lowercased_once(spark):
+    texts = ["Great thanks, but the ERROR is bad bad", "", None, "refund my LAWYER payment", "good", "nothing here"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "query_id long, text string")
+    out = df.select("query_id", decision.sentiment("text").alias("s"), decision.sensitive_topics("text").alias("t"), decision.is_urgent("text").alias("u"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("lower(") == 3
+    for r, text in zip(out.orderBy("query_id").collect(), texts):
+        words = "".join(c if c.isalnum() or c == "_" else " " for c in (text or "").lower()).split()
+        pos, neg = (sum(w in x for w in words) for x in (decision.POSITIVE_WORDS, decision.NEGATIVE_WORDS))
+        assert r["s"]["label"] == ("positive" if pos > neg else "negative" if neg > pos else "neutral")
+        assert r["s"]["score"] == (0.5 + 0.5 * abs(pos - neg) / (pos + neg) if pos + neg else 0.5)
+        p, low = DecisionParams(), (text or "").lower()
+        topics = [name for name, kws in p.topics if any(k in low for k in kws)]
+        n = sum(k in low for _, kws in p.topics for k in kws)
+        assert (r["t"]["has_sensitive"], r["t"]["topics"], r["t"]["confidence"]) == (bool(topics), topics, min(1.0, n / 5.0))
+        assert r["u"] == any(k in low for k in p.urgent_keywords)
