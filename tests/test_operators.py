@@ -630,3 +630,12 @@ def test_texts_are_split_and_lowercased_once(spark):
         n = sum(k in low for _, kws in p.topics for k in kws)
         assert (r["t"]["has_sensitive"], r["t"]["topics"], r["t"]["confidence"]) == (bool(topics), topics, min(1.0, n / 5.0))
         assert r["u"] == any(k in low for k in p.urgent_keywords)
+
+
+def test_question_terms_are_counted_where_their_text_is(spark):
+    rows = [(1, "alpha beta alpha"), (1, "beta"), (2, None), (3, ""), (None, "beta gamma"), (None, "beta")]
+    qt = bm25.query_terms(spark.createDataFrame(rows, "query_id long, text string"))
+    assert {(r["query_id"], r["term"]): r["qtf"] for r in qt.collect()} == {
+        (1, "alpha"): 2, (1, "beta"): 2, (None, "beta"): 2, (None, "gamma"): 1}
+    plan = qt._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan  # of the texts, not of their terms
