@@ -2,8 +2,10 @@
 against brute force or held-out accuracy, with the edge cases of each."""
 
 import math
+import pathlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from helmsman.llm import decontaminate, extendible, lm_score, mixing, neardup, quality, toxicity
 from helmsman.llm.labelled import fold, labelled
-from helmsman.llm.shared import documents, text_buffer
+from helmsman.llm.shared import CLEANUP, documents, text_buffer, written
+from helmsman.session import checkpoint_root
 from tests.conftest import SF_MID, SF_SMALL
 
 DOCS = "doc_id long, text string, source string, lang string, n string, node string, label string, a string, b string, size string"
@@ -116,6 +119,41 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, width, big, tile)
     assert sorted((tuple(r) for r in got), key=str) == _brute_groups(rows, width)
 
 
+def test_near_duplicates_keep_no_sketches_sets_or_shuffles(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 16)
+    monkeypatch.setattr(neardup, "HOT", 16)
+    monkeypatch.setattr(neardup, "PASS_BYTES", 1)
+    budgets, tiles = [], neardup._tiles
+    monkeypatch.setattr(neardup, "_tiles", lambda *a: budgets.append(tiles(*a)) or budgets[-1])
+    root = pathlib.Path(checkpoint_root(spark).removeprefix("file:"))
+    before, blocks = set(root.rglob("neardup-*")), _shuffle_blocks(spark)
+    rows = _families(2, 2, 90)
+    out = neardup.near_duplicates(docs(spark, rows).repartition(3), shingle=2)
+    assert len(budgets[0]) > 1  # tiles go in several passes
+    left = [spark.read.parquet(str(p)).columns for p in set(root.rglob("neardup-*")) - before]
+    assert left and not any({"sketch", "grams", "v"} & set(columns) for columns in left)
+    for _ in range(50):  # they go in the background
+        if _shuffle_blocks(spark) <= blocks + 8:
+            break
+        time.sleep(0.2)
+    assert _shuffle_blocks(spark) <= blocks + 8  # of the few counts that are no written table
+    assert sorted((tuple(r) for r in out.collect()), key=str) == _brute_groups(rows, 2)
+
+
+def _shuffle_blocks(spark) -> int:
+    return sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+
+
+@pytest.mark.parametrize("set_to", [None, "false"])
+def test_a_written_table_leaves_the_session_as_it_was(spark, set_to):
+    spark.conf.unset(CLEANUP) if set_to is None else spark.conf.set(CLEANUP, set_to)
+    before = spark.conf.get(CLEANUP, None)
+    assert sorted(r.id for r in written(spark.range(5).distinct(), "left").collect()) == [0, 1, 2, 3, 4]
+    assert spark.conf.get(CLEANUP, None) == before
+    spark.conf.unset(CLEANUP)
+
+
 def test_near_duplicates_empty_tables(spark):
     assert neardup.near_duplicates(docs(spark, [])).collect() == []
     assert sorted(tuple(r) for r in neardup.near_duplicates(docs(spark, [(1, None), (2, "")])).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]
